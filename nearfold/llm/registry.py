@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from nearfold.llm.digest_index import OP1_SQL, op1_exact_dedup
+from nearfold.llm.simhash import op7_simhash_near_dedup
+from nearfold.llm.warc import OP2_SQL, op2_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-SQL = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op7_simhash_near_dedup": op7_simhash_near_dedup}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL}
