@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from nearfold.llm.digest_index import OP1_SQL, op1_exact_dedup
+from nearfold.llm.outliers import OP8_SQL, op8_quality_rules
 from nearfold.llm.simhash import op7_simhash_near_dedup
+from nearfold.llm.url_cascade import OP5_SQL, op5_url_filter
 from nearfold.llm.warc import OP2_SQL, op2_warc
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_warc": op2_warc, "op7_simhash_near_dedup": op7_simhash_near_dedup}
-SQL = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
+    "op5_url_filter": op5_url_filter,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
+SQL = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_quality_rules": OP8_SQL}
