@@ -5,6 +5,7 @@ from __future__ import annotations
 from nearfold.llm.digest_index import OP1_SQL, op1_exact_dedup
 from nearfold.llm.outliers import OP8_SQL, op8_quality_rules
 from nearfold.llm.packing import op9_best_fit_packing
+from nearfold.llm.pieces import op10_sentencepiece
 from nearfold.llm.simhash import op7_simhash_near_dedup
 from nearfold.llm.url_cascade import OP5_SQL, op5_url_filter
 from nearfold.llm.warc import OP2_SQL, op2_warc
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_quality_rules": OP8_SQL}
