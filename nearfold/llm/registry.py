@@ -7,6 +7,7 @@ from nearfold.llm.outliers import OP8_SQL, op8_quality_rules
 from nearfold.llm.packing import op9_best_fit_packing
 from nearfold.llm.pieces import op10_sentencepiece
 from nearfold.llm.quality import op6_quality_classifier
+from nearfold.llm.secrets import op4_secret_scan
 from nearfold.llm.simhash import op7_simhash_near_dedup
 from nearfold.llm.toxicity import op3_toxicity
 from nearfold.llm.url_cascade import OP5_SQL, op5_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
+    "op4_secret_scan": op4_secret_scan,
     "op5_url_filter": op5_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
