@@ -1 +1 @@
-
+"""Scalar functions over array columns, with numpy twins."""

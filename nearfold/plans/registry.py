@@ -1,4 +1,486 @@
-"""The library's own queries and their SQL."""
+"""The library's queries, each with SQL that gives the same rows where SQL can.
 
+Floats are rounded to six digits and ties broken by id, so that engines agree.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfold.functions.distance import gradient_cap, negative_gradient, positive_gradient
+from nearfold.operators import edges as E
+from nearfold.operators import frames, knn, weights
+from nearfold.operators.components import connected_components
+from nearfold.operators.dbscan import core_points, dbscan
+from nearfold.operators.dendrogram import dendrogram, root_clusters
+from nearfold.operators.embed import layout, project, sgd_batches
+from nearfold.operators.hdbscan import core_distances, hdbscan, mutual_reachability, point_lambda, spanning_forest
+from nearfold.operators.lof import local_outlier_factor
+from nearfold.operators.optics import INF, cut, optics, reachability_plot, xi_clusters
+from nearfold.operators.optics import core_distances as optics_core
+from nearfold.scratch import new_path, written
+from nearfold.sources import vectors as S
+from nearfold.sources.index_store import search_index
+
+K, EPS, MIN_PTS = 10, 0.08, 5
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def emb(spark: SparkSession, sf: str) -> DataFrame:
+    return S.dense(_t(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten separate blobs: two coordinates of the embeddings, moved by label."""
+    e = _t(spark, sf, "embeddings")
+    x = (F.col("label") % 5) * 2 + F.col("embedding")[0].cast("double")
+    y = F.floor(F.col("label") / 5) * 2 + F.col("embedding")[1].cast("double")
+    return e.select(F.col("vec_id").cast("bigint").alias("id"), F.array(x, y).alias("features"), "label")
+
+
+def pknn(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
+    return written(knn.exact_knn(planted(spark, sf).select("id", "features"), k), "knn")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def _edges(df: DataFrame) -> DataFrame:
+    return df.select("src", "dst", F.col("rank").cast("bigint").alias("rank"), r6("dist", "dist"))
+
+
+V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+PL = "pl AS (SELECT vec_id AS id, label, (label % 5) * 2 + CAST(embedding[1] AS DOUBLE) AS x, (label // 5) * 2 + CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+
+
+def sql_knn(dist: str, table: str, k: int, name: str = "knn") -> str:
+    return (
+        f"{name} AS (SELECT src, dst, rank, dist FROM (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank "
+        f"FROM (SELECT a.id AS src, b.id AS dst, {dist} AS dist FROM {table} a JOIN {table} b ON a.id <> b.id)) WHERE rank <= {k})"
+    )
+
+
+def sql_pknn(k: int = K) -> str:
+    return PL + ", " + sql_knn("sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))", "pl", k)
+
+
+UNDIRECTED = "und AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM knn UNION ALL SELECT dst, src, dist FROM knn) GROUP BY 1, 2)"
+SHOWN = "SELECT src, dst, CAST(rank AS BIGINT) AS rank, round(dist, 6) AS dist FROM knn"
+
+
+@query(f"WITH {V}, {sql_knn('list_distance(a.f, b.f)', 'v', K)} {SHOWN}")
+def knn_euclidean(spark, sf):
+    return _edges(knn.exact_knn(emb(spark, sf), K))
+
+
+@query(f"WITH {V}, {sql_knn('sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.f, b.f)))', 'v', K)} {SHOWN}")
+def knn_cosine(spark, sf):
+    return _edges(knn.exact_knn(emb(spark, sf), K, "cosine"))
+
+
+@query(f"WITH {V}, {sql_knn('list_sum([abs(a.f[i] - b.f[i]) for i in range(1, len(a.f) + 1)])', 'v', K)} {SHOWN}")
+def knn_manhattan(spark, sf):
+    return _edges(knn.exact_knn(emb(spark, sf), K, "manhattan"))
+
+
+@query(
+    "WITH v AS (SELECT vec_id AS id, [CASE WHEN x > 0 THEN 1 ELSE 0 END for x in embedding] AS f FROM embeddings), "
+    + sql_knn("CAST(list_sum([xor(a.f[i], b.f[i]) for i in range(1, len(a.f) + 1)]) AS DOUBLE)", "v", K)
+    + f" {SHOWN}"
+)
+def knn_hamming(spark, sf):
+    bits = emb(spark, sf).select("id", F.transform("features", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("features"))
+    return _edges(knn.exact_knn(bits, K, "hamming"))
+
+
+@query(f"WITH {sql_pknn()} SELECT dst AS id, count(*) AS n FROM knn GROUP BY dst")
+def reverse_knn(spark, sf):
+    return E.reverse(pknn(spark, sf)).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+
+
+_EXPLORED = (
+    f"{V}, {sql_knn('list_distance(a.f, b.f)', 'v', 5, 'k5')}, "
+    "cand AS (SELECT src, dst FROM k5 UNION SELECT a.src, b.dst FROM k5 a JOIN k5 b ON a.dst = b.src WHERE a.src <> b.dst), "
+    "m AS (SELECT src, dst, list_distance(a.f, b.f) AS dist FROM cand JOIN v a ON a.id = src JOIN v b ON b.id = dst), "
+    f"knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM m) WHERE rank <= {K})"
+)
+
+
+@query(f"WITH {_EXPLORED} {SHOWN}")
+def explore_once(spark, sf):
+    v = emb(spark, sf)
+    return _edges(knn.explore(written(knn.exact_knn(v, 5), "k5"), v, K))
+
+
+@query(f"WITH {_EXPLORED}, {sql_knn('list_distance(a.f, b.f)', 'v', K, 'best')} SELECT count(knn.src) AS hits, count(*) AS total, round(count(knn.src) / count(*), 6) AS recall FROM best LEFT JOIN knn USING (src, dst)")
+def recall_at_k(spark, sf):
+    v = emb(spark, sf)
+    found = knn.explore(written(knn.exact_knn(v, 5), "k5"), v, K)
+    return knn.recall(knn.exact_knn(v, K), found).select("hits", "total", r6("recall", "recall"))
+
+
+@query(
+    f"WITH {sql_pknn()}, d AS (SELECT greatest(src, dst) AS i, least(src, dst) AS j, coalesce(max(CASE WHEN src > dst THEN dist END), max(dist)) AS dist FROM knn GROUP BY 1, 2) "
+    "SELECT a.id AS i, b.id AS j, round(d.dist, 6) AS dist FROM pl a JOIN pl b ON a.id > b.id LEFT JOIN d ON d.i = a.id AND d.j = b.id"
+)
+def edge_dist_dense(spark, sf):
+    return E.distance_table(pknn(spark, sf), planted(spark, sf)).select("i", "j", r6("dist", "dist"))
+
+
+@query(f"WITH {sql_pknn()} SELECT count(*) AS n_edges FROM knn")
+def valid_neighbors(spark, sf):
+    return E.count_valid(E.to_neighbors(pknn(spark, sf)))
+
+
+@query(f"WITH {sql_pknn()} {SHOWN}")
+def adjacency_to_edges(spark, sf):
+    return _edges(E.from_neighbors(E.to_neighbors(pknn(spark, sf))))
+
+
+@query(f"WITH {V}, {sql_knn('list_distance(a.f, b.f)', 'v', 5)} SELECT src, dst, round(sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.f, b.f))), 6) AS dist FROM knn JOIN v a ON a.id = src JOIN v b ON b.id = dst")
+def build_edges(spark, sf):
+    v = emb(spark, sf)
+    return E.measure(knn.exact_knn(v, 5), v, "cosine").select("src", "dst", r6("dist", "dist"))
+
+
+@query(f"WITH {sql_pknn()}, {UNDIRECTED} SELECT src, dst, round(dist, 6) AS dist FROM und")
+def undirected_edges(spark, sf):
+    return E.undirected(pknn(spark, sf)).select("src", "dst", r6("dist", "dist"))
+
+
+@query("SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS f0, round(p_retailprice, 6) AS f1 FROM part")
+def numeric_projection(spark, sf):
+    v = S.numeric_columns(_t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", F.lit("text").alias("p_text")), "p_partkey")
+    return v.select("id", F.col("features")[0].alias("f0"), r6(F.col("features")[1], "f1"))
+
+
+@query("SELECT min(p_partkey) AS id, CAST(p_size AS DOUBLE) AS f0, round(p_retailprice, 6) AS f1 FROM part GROUP BY p_size, p_retailprice")
+def dedupe_points(spark, sf):
+    v = S.without_duplicates(S.numeric_columns(_t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey"))
+    return v.select("id", F.col("features")[0].alias("f0"), r6(F.col("features")[1], "f1"))
+
+
+@query(
+    "SELECT c_custkey AS id, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS f0, "
+    "round((c_nationkey - avg(c_nationkey) OVER ()) / stddev_samp(c_nationkey) OVER (), 6) AS f1 FROM customer"
+)
+def scale_features(spark, sf):
+    v = S.scaled(S.numeric_columns(_t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey"))
+    return v.select("id", r6(F.col("features")[0], "f0"), r6(F.col("features")[1], "f1"))
+
+
+@query("WITH v AS (SELECT vec_id AS id, [CASE WHEN abs(x) > 0.1 THEN CAST(x AS DOUBLE) ELSE 0 END for x in embedding] AS f FROM embeddings), " + sql_knn("list_distance(a.f, b.f)", "v", K) + f" {SHOWN}")
+def sparse_knn(spark, sf):
+    cells = emb(spark, sf).select("id", F.posexplode("features").alias("feature", "value")).filter("abs(value) > 0.1")
+    return _edges(knn.exact_knn(S.from_triplets(cells, 64), K))
+
+
+@query("SELECT src, dst, count(*) AS weight FROM (SELECT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION ALL SELECT -l_suppkey, l_partkey FROM lineitem) GROUP BY 1, 2")
+def external_graph(spark, sf):
+    pairs = _t(spark, sf, "lineitem").select(F.col("l_partkey").cast("bigint").alias("src"), (-F.col("l_suppkey")).cast("bigint").alias("dst"))
+    path = new_path(spark, "graph")
+    pairs.write.csv(path, sep="\t")
+    return S.read_edge_list(spark, path).select("src", "dst", F.col("weight").cast("bigint").alias("weight"))
+
+
+@query("SELECT vec_id AS id, label, n.n_name AS name FROM embeddings LEFT JOIN nation n ON n.n_nationkey = vec_id")
+def label_join(spark, sf):
+    names = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
+    return S.with_labels(planted(spark, sf).select("id", "label"), names)
+
+
+@query(f"WITH {sql_pknn()}, c AS (SELECT id, count(src) AS n FROM pl LEFT JOIN (SELECT * FROM knn WHERE dist < 0.05) k ON k.src = pl.id GROUP BY id) SELECT id, n FROM c WHERE n < {K}")
+def incomplete_vertices(spark, sf):
+    near = pknn(spark, sf).filter("dist < 0.05").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return planted(spark, sf).select("id").join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") < K)
+
+
+@query(f"WITH {sql_pknn()} SELECT src AS id, round(max(dist), 6) AS kdist FROM knn GROUP BY src")
+def k_distance(spark, sf):
+    return pknn(spark, sf).groupBy(F.col("src").alias("id")).agg(r6(F.max("dist"), "kdist"))
+
+
+@query(
+    f"WITH {sql_pknn()}, kd AS (SELECT src, max(dist) AS kdist FROM knn GROUP BY src), "
+    "lrd AS (SELECT knn.src, 1 / avg(greatest(kd.kdist, dist)) AS lrd FROM knn JOIN kd ON kd.src = dst GROUP BY knn.src) "
+    "SELECT knn.src AS id, round(avg(o.lrd) / any_value(m.lrd), 6) AS lof FROM knn JOIN lrd o ON o.src = dst JOIN lrd m ON m.src = knn.src GROUP BY knn.src"
+)
+def lof_scores(spark, sf):
+    return local_outlier_factor(pknn(spark, sf)).select("id", r6("lof", "lof"))
+
+
+_CORE = f"{sql_pknn()}, {UNDIRECTED}, core AS (SELECT src AS id, CASE WHEN dist = 0 THEN 1e-5 ELSE dist END AS cd FROM knn WHERE rank = 5)"
+_MUTUAL = f"{_CORE}, mr AS (SELECT src AS u, dst AS v, greatest(a.cd, b.cd, dist) AS w FROM und JOIN core a ON a.id = src JOIN core b ON b.id = dst WHERE src > dst)"
+_LAMBDA = f"{_MUTUAL}, lam AS (SELECT id, 1 / min(w) AS lam FROM (SELECT u AS id, w FROM mr UNION ALL SELECT v, w FROM mr) GROUP BY id)"
+
+
+@query(f"WITH {_CORE} SELECT id, round(cd, 6) AS core_distance FROM core")
+def core_distance(spark, sf):
+    return core_distances(pknn(spark, sf), 5).select("id", r6("core_distance", "core_distance"))
+
+
+@query(f"WITH {_MUTUAL} SELECT u, v, round(w, 6) AS weight FROM mr", "mutual_reachability")
+def _mutual(spark, sf):
+    e = pknn(spark, sf)
+    return mutual_reachability(e, core_distances(e, 5)).select("u", "v", r6("weight", "weight"))
+
+
+@query(f"WITH {_LAMBDA} SELECT id, round(lam, 6) AS \"lambda\" FROM lam")
+def lambda_p(spark, sf):
+    e = pknn(spark, sf)
+    return point_lambda(mutual_reachability(e, core_distances(e, 5))).select("id", r6("lambda", "lambda"))
+
+
+@query(f"WITH {sql_pknn()} SELECT id, round(CASE WHEN dist < {EPS} THEN dist END, 6) AS coredist FROM pl LEFT JOIN knn ON src = id AND rank = {MIN_PTS - 1}")
+def optics_core_distance(spark, sf):
+    got = optics_core(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS)
+    return got.select("id", r6(F.when(F.col("coredist") < INF, F.col("coredist")), "coredist"))
+
+
+@query(
+    f"WITH {V}, {sql_knn('list_distance(a.f, b.f)', 'v', 20)} SELECT src, dst, round(sum(p) / 2, 6) AS weight FROM "
+    "(SELECT src, dst, 1 / 20 AS p FROM knn UNION ALL SELECT dst, src, 1 / 20 FROM knn) GROUP BY 1, 2"
+)
+def wij_uniform(spark, sf):
+    """The default perplexity of 50 over 20 neighbours, found by calibration; the SQL is its closed form."""
+    return weights.edge_weights(knn.exact_knn(emb(spark, sf), 20)).select("src", "dst", r6("weight", "weight"))
+
+
+@query()
+def wij_perplexity(spark, sf):
+    return weights.edge_weights(knn.exact_knn(emb(spark, sf), 20), 5.0).select("src", "dst", r6("weight", "weight"))
+
+
+@query(
+    "WITH c AS (SELECT c_custkey AS id, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer WHERE c_custkey % 1 = 0), "
+    + sql_knn("sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))", "c", 5)
+    + " SELECT src, dst, round(CASE WHEN m > 27 THEN dist / m ELSE dist END, 6) AS dist FROM knn, (SELECT max(dist) AS m FROM knn)"
+)
+def overflow_rescale(spark, sf):
+    v = S.numeric_columns(_t(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey")
+    return weights.rescale_overflow(written(knn.exact_knn(v, 5), "knn")).select("src", "dst", r6("dist", "dist"))
+
+
+@query(
+    "WITH n AS (SELECT DISTINCT CAST(o_orderkey AS DOUBLE) * 997 AS n FROM orders) SELECT n, round(CASE WHEN n < 1e4 THEN 2000 * (150 * n / 2) "
+    "WHEN n < 1e6 THEN 1e6 * (9000 * (n - 1e4) / (1e6 - 1e4) + 1000) ELSE 1e4 * n END, 2) AS batches FROM n"
+)
+def sgd_batch_counts(spark, sf):
+    n = _t(spark, sf, "orders").select((F.col("o_orderkey").cast("double") * 997).alias("n")).distinct()
+    return n.select("n", F.round(sgd_batches(F.col("n")), 2).alias("batches"))
+
+
+_WEIGHTS = "w AS (SELECT src, dst, sum(dist) AS weight FROM (SELECT src, dst, dist FROM knn UNION ALL SELECT dst, src, dist FROM knn) GROUP BY 1, 2)"
+
+
+@query(f"WITH {sql_pknn()}, {_WEIGHTS} SELECT src AS id, round(pow(sum(weight), 0.75), 6) AS by_weight, round(pow(count(*), 0.75), 6) AS by_degree FROM w GROUP BY src")
+def neg_weights(spark, sf):
+    w = written(S.symmetric(pknn(spark, sf).withColumnRenamed("dist", "weight")), "weights")
+    by = weights.negative_weights(w, True).select("id", r6("weight", "by_degree"))
+    return weights.negative_weights(w).select("id", r6("weight", "by_weight")).join(by, "id")
+
+
+def _gradient_sql(alpha: int) -> str:
+    pos = {0: "CASE WHEN d2 > 4 THEN -1.0 ELSE -1 / (1 + exp(-d2)) END"}.get(alpha, f"-2.0 * {alpha} / (1 + {alpha} * d2)")
+    neg = {0: "CASE WHEN d2 > 49 THEN 0.0 ELSE 7.0 / (1 + exp(d2)) END", 1: "14.0 / (1 + d2) / (0.1 + d2)"}.get(alpha, f"{14.0 * alpha} / (d2 * ({alpha} * d2 + 1))")
+    cap = gradient_cap(alpha, 7.0)
+    return (
+        f"WITH {sql_pknn()}, g AS (SELECT src, dst, dist * dist AS d2, a.x - b.x AS dx FROM knn JOIN pl a ON a.id = src JOIN pl b ON b.id = dst) "
+        f"SELECT src, dst, round(({pos}) * dx, 6) AS pull, round(greatest(-{cap}, least({cap}, ({neg}) * dx)), 6) AS push FROM g"
+    )
+
+
+def _gradient_query(alpha: int):
+    def run(spark, sf):
+        p = planted(spark, sf)
+        ends = pknn(spark, sf).join(p.select(F.col("id").alias("src"), F.col("features")[0].alias("xa")), "src").join(p.select(F.col("id").alias("dst"), F.col("features")[0].alias("xb")), "dst")
+        d2, dx, cap = F.col("dist") * F.col("dist"), F.col("xa") - F.col("xb"), F.lit(gradient_cap(alpha, 7.0))
+        push = F.greatest(-cap, F.least(cap, negative_gradient(d2, alpha, 7.0) * dx))
+        return ends.select("src", "dst", r6(positive_gradient(d2, alpha) * dx, "pull"), r6(push, "push"))
+
+    return run
+
+
+for _alpha in (0, 1, 2):
+    query(_gradient_sql(_alpha), f"gradients_alpha{_alpha}")(_gradient_query(_alpha))
+
+_REGION = f"{sql_pknn()}, {UNDIRECTED}, region AS (SELECT src, dst FROM und WHERE dist < {EPS}), core AS (SELECT src AS id FROM region GROUP BY src HAVING count(*) >= {MIN_PTS - 1})"
+_DBSCAN = (
+    f"{_REGION}, cc AS (SELECT r.src, r.dst FROM region r JOIN core a ON a.id = r.src JOIN core b ON b.id = r.dst), "
+    "reach AS (SELECT id, id AS seen FROM core UNION SELECT reach.id, cc.dst FROM reach JOIN cc ON cc.src = reach.seen), "
+    "num AS (SELECT id, dense_rank() OVER (ORDER BY root) AS cluster FROM (SELECT id, min(seen) AS root FROM reach GROUP BY id))"
+)
+
+
+@query(f"WITH {_REGION} SELECT id FROM core")
+def dbscan_core(spark, sf):
+    return core_points(pknn(spark, sf), EPS, MIN_PTS)[1]
+
+
+@query(
+    f"WITH RECURSIVE {_DBSCAN}, border AS (SELECT src AS id, min(cluster) AS c FROM region JOIN num ON num.id = dst GROUP BY src) "
+    "SELECT pl.id, CAST(coalesce(cluster, c, 0) AS BIGINT) AS cluster FROM pl LEFT JOIN num USING (id) LEFT JOIN border USING (id)"
+)
+def dbscan_labels(spark, sf):
+    return dbscan(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS).select("id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+_COMP = f"{sql_pknn()}, {UNDIRECTED}, reach AS (SELECT id, id AS seen FROM pl UNION SELECT reach.id, und.dst FROM reach JOIN und ON und.src = reach.seen), comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"
+
+
+@query(f"WITH RECURSIVE {_COMP} SELECT id, component FROM comp")
+def knn_components(spark, sf):
+    return connected_components(pknn(spark, sf)).select(F.col("node").alias("id"), "component")
+
+
+@query(f"WITH RECURSIVE {_COMP} SELECT component, count(*) - 1 AS n_edges FROM comp GROUP BY component")
+def mst_edges(spark, sf):
+    e = pknn(spark, sf)
+    return spanning_forest(mutual_reachability(e, core_distances(e, 5))).groupBy("component").agg(F.count("*").alias("n_edges"))
+
+
+def _hdb(spark, sf):
+    return hdbscan(pknn(spark, sf), planted(spark, sf), 20, 5)
+
+
+
+
+@query(f"WITH {PL}, m AS (SELECT id, min(id) OVER (PARTITION BY label) AS f FROM pl) SELECT id, dense_rank() OVER (ORDER BY f) AS cluster FROM m")
+def hdbscan_labels(spark, sf):
+    """The planted blobs are the clusters."""
+    return _hdb(spark, sf).points.select("id", F.col("cluster").cast("bigint").alias("cluster"))
+
+
+@query(
+    f"WITH {_LAMBDA} SELECT id, round((lam - min(lam) OVER (PARTITION BY label)) / (max(lam) OVER (PARTITION BY label) - min(lam) OVER (PARTITION BY label)), 6) AS probability, "
+    'round(lam, 6) AS "lambda" FROM lam JOIN pl USING (id)'
+)
+def hdbscan_probabilities(spark, sf):
+    return _hdb(spark, sf).points.select("id", r6("probability", "probability"), r6("lambda", "lambda"))
+
+
+@query()
+def hdbscan_glosh(spark, sf):
+    return _hdb(spark, sf).points.select("id", r6("glosh", "glosh"), "membership", "mst_parent")
+
+
+@query()
+def hdbscan_hierarchy(spark, sf):
+    return _hdb(spark, sf).clusters
+
+
+@query()
+def hdbscan_single_root(spark, sf):
+    return hdbscan(pknn(spark, sf, 80), planted(spark, sf), 20, 5).clusters
+
+
+@query()
+def hdbscan_dendrogram(spark, sf):
+    return dendrogram(_hdb(spark, sf), include_nodes=True)
+
+
+@query(f"WITH RECURSIVE {_COMP} SELECT count(DISTINCT component) AS n FROM comp")
+def dendrogram_roots(spark, sf):
+    return root_clusters(_hdb(spark, sf).clusters).agg(F.count("*").alias("n"))
+
+
+@query()
+def optics_order(spark, sf):
+    got = optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS, use_queue=False)
+    return got.select("id", "order_pos", r6(F.when(F.col("reachdist") < INF, F.col("reachdist")), "reachdist"), "predecessor")
+
+
+@query(f"WITH RECURSIVE {_DBSCAN} SELECT id, min(id) OVER (PARTITION BY cluster) AS first FROM num")
+def optics_cut_core(spark, sf):
+    """The cut of an ordering gives the core points of DBSCAN the same clusters; each is named by its smallest core point."""
+    e, p = pknn(spark, sf), planted(spark, sf)
+    core = core_points(e, EPS, MIN_PTS)[1]
+    clusters = cut(optics(e, p, INF, MIN_PTS, use_queue=False), EPS, 2).join(core, "id")
+    return clusters.join(clusters.groupBy("cluster").agg(F.min("id").alias("first")), "cluster").select("id", "first")
+
+
+@query()
+def optics_queue_plot(spark, sf):
+    return reachability_plot(optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS), "queue")
+
+
+@query()
+def optics_xi(spark, sf):
+    found = xi_clusters(optics(pknn(spark, sf), planted(spark, sf), INF, MIN_PTS, use_queue=False), 0.1, MIN_PTS)
+    return spark.createDataFrame(found or [], "first_pos bigint, last_pos bigint")
+
+
+@query()
+def ann_recall(spark, sf):
+    v = emb(spark, sf)
+    return knn.recall(knn.exact_knn(v, K), knn.search(v, K, n_trees=20, max_iter=2, leaf=64)).select("hits", "total", r6("recall", "recall"))
+
+
+@query()
+def ann_stored_index(spark, sf):
+    v, path = emb(spark, sf), new_path(spark, "index")
+    knn.search(v, K, n_trees=10, max_iter=0, leaf=64, save=path)
+    return _edges(search_index(spark, path, K, 1))
+
+
+@query()
+def embed_coords(spark, sf):
+    return project(weights.edge_weights(pknn(spark, sf)), sgd_batches=40 * 8192, seed=1).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+
+
+@query()
+def embed_momentum(spark, sf):
+    return project(weights.edge_weights(pknn(spark, sf)), sgd_batches=20 * 8192, momentum=0.5, use_degree=True, seed=1).select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+
+
+@query()
+def layout_pipeline(spark, sf):
+    made = layout(planted(spark, sf).select("id", "features"), k=K, n_trees=10, sgd_batches=20 * 8192, seed=1)
+    return made.coords.select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
+
+
+@query()
+def cluster_plot(spark, sf):
+    e, p = pknn(spark, sf), planted(spark, sf)
+    return frames.cluster_frame(hdbscan(e, p, 20, 5), p.select("id", F.col("features").alias("coords")), e)
+
+
+@query(
+    f"WITH {PL}, m AS (SELECT min(list_min(embedding)) AS lo, max(list_max(embedding)) AS hi FROM embeddings) SELECT id, round(x - 4, 6) AS xmin, round(x + 4, 6) AS xmax, round(y - 4, 6) AS ymin, "
+    "round(y + 4, 6) AS ymax, round(1 - (CAST(e.embedding[1] AS DOUBLE) - CAST(lo AS DOUBLE)) / CAST(hi AS DOUBLE), 6) AS first_pixel FROM pl JOIN embeddings e ON e.vec_id = id, m"
+)
+def mosaic(spark, sf):
+    p = planted(spark, sf).select("id", F.col("features").alias("coords"))
+    images = emb(spark, sf).select("id", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("layers"), F.col("features").alias("pixels"))
+    got = frames.mosaic_frame(p, images)
+    return got.select("id", r6("xmin", "xmin"), r6("xmax", "xmax"), r6("ymin", "ymin"), r6("ymax", "ymax"), r6(F.col("pixels")[0], "first_pixel"))
+
+
+@query()
+def mosaic_grid(spark, sf):
+    return frames.grid_frame(planted(spark, sf).select("id", F.col("features").alias("coords")))
+
+
+@query(f"WITH {PL} SELECT id, round(x / sx, 6) AS x, round(y / sy, 6) AS y, r_regionkey AS facet FROM pl, region, (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM pl)")
+def facets(spark, sf):
+    p = planted(spark, sf).select("id", F.col("features").alias("coords"))
+    return frames.facet_frame(p, _t(spark, sf, "region").select(F.col("r_regionkey").alias("facet"))).select("id", r6("x", "x"), r6("y", "y"), "facet")
+
+

@@ -1 +1 @@
-
+"""Vectors, edges and stored indexes from tables and files."""
