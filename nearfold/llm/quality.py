@@ -90,7 +90,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", tex
             bucket, doc = grams([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
             n = part.num_rows
             yield pa.record_batch(
-                [part.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, ratios[bucket], minlength=n))], ["id", "n_grams", "log_weight"]
+                [part.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, ratios[bucket], minlength=n).astype(float))], ["id", "n_grams", "log_weight"]
             )
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_grams bigint, log_weight double")
