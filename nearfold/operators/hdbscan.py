@@ -216,12 +216,12 @@ class Hdbscan:
     clusters: DataFrame
 
 
-def hdbscan(edges: DataFrame, ids: DataFrame, min_pts: int = 20, k: int = 5, stability: str = "reference") -> Hdbscan:
+def hdbscan(edges: DataFrame, ids: DataFrame, min_pts: int = 20, k: int = 5, stability: str = "inclusive") -> Hdbscan:
     """Hierarchical density clusters. Flat clusters are numbered by their smallest point, condensed ones by component and pre-order.
 
     A point without any edge is an outlier without hierarchy. Where the graph is one component its root is never selected.
     """
-    if stability not in ("reference", "paper"):
+    if stability not in ("inclusive", "paper"):
         raise ValueError(f"stability {stability!r}")
     check_neighbors(edges, k)
     core = written(core_distances(edges, k), "core")

@@ -299,7 +299,7 @@ def test_forest_weights_against_prim(points, near):
 def test_hdbscan_on_many_roots_and_on_one(spark, points, near):
     label = {r.id: r.label for r in points.collect()}
     for edges in (near, knn.exact_knn(points.select("id", "features"), 80)):
-        for stability in ("reference", "paper"):
+        for stability in ("inclusive", "paper"):
             got = hdbscan(written(edges, "e"), points, 20, 5, stability)
             rows = got.points.collect()
             assert len(rows) == 500 and len({(r.cluster, label[r.id]) for r in rows}) == 10 and all(r.cluster for r in rows)
