@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import warnings
 from collections.abc import Iterator
 
@@ -23,6 +24,16 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
 
+def tagged(edges: DataFrame, metric: str) -> DataFrame:
+    """edges with the metric in the metadata of their distances."""
+    return edges.withMetadata("dist", {"metric": metric})
+
+
+def metric_of(edges: DataFrame) -> str | None:
+    """The metric that a neighbour graph was made with, if it tells."""
+    return edges.schema["dist"].metadata.get("metric")
+
+
 def _matrix(column: pa.ListArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -60,7 +71,7 @@ def exact_knn(vectors: DataFrame, k: int, metric: str = "euclidean", block: int
                 yield _nearest(part["id"].to_numpy(), _matrix(part["features"]), part["id2"].to_numpy(), _matrix(part["features2"]), k, metric)
 
     pairs = left.join(right, "other").repartition(min(blocks * blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) + blocks), "other", "id")
-    return top_k(pairs.mapInArrow(run, EDGES), k)
+    return tagged(top_k(pairs.mapInArrow(run, EDGES), k), metric)
 
 
 class Forest:
@@ -190,7 +201,7 @@ def refine(assigned: DataFrame, vectors: DataFrame, k: int, max_iter: int, metri
     for _ in range(max_iter):
         edges = written(explore(edges, vectors, k, metric), "edges")
     check_complete(edges, vectors, k)
-    return edges
+    return tagged(edges, metric)
 
 
 def check_complete(edges: DataFrame, vectors: DataFrame, k: int) -> None:
@@ -203,6 +214,18 @@ def check_complete(edges: DataFrame, vectors: DataFrame, k: int) -> None:
         warnings.warn(f"{few} vectors have fewer than {k} neighbours", stacklevel=2)
 
 
+def search_grid(vectors: DataFrame, k: int, trees: list[int], rounds: list[int], metric: str = "euclidean", leaf: int | None = None) -> list[tuple[int, int, float, float]]:
+    """(n_trees, max_iter, seconds, recall) of every combination, against exact neighbours."""
+    exact = written(exact_knn(vectors, k, metric), "exact")
+    out = []
+    for t in trees:
+        for r in rounds:
+            began = time.time()
+            found = written(search(vectors, k, t, r, metric, leaf), "found")
+            out.append((t, r, time.time() - began, recall(exact, found).first().recall))
+    return out
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     """(hits, total, recall) of found edges against exact ones."""
     hits = exact.select("src", "dst").join(found.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")

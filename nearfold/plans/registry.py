@@ -263,7 +263,22 @@ def wij_uniform(spark, sf):
     return weights.edge_weights(knn.exact_knn(emb(spark, sf), 20)).select("src", "dst", r6("weight", "weight"))
 
 
-@query()
+_BISECT = (
+    "e AS (SELECT src, dst, pow(dist, 4) AS w FROM knn), "
+    "b AS (SELECT DISTINCT src, CAST(1 AS DOUBLE) AS used, CAST(1 AS DOUBLE) AS beta, CAST('-inf' AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, 0 AS step, false AS done FROM knn UNION ALL "
+    "SELECT src, beta, CASE WHEN off > 0 THEN CASE WHEN isinf(hi) THEN beta * 2 ELSE (beta + hi) / 2 END ELSE CASE WHEN isinf(lo) THEN beta / 2 ELSE (beta + lo) / 2 END END, "
+    "CASE WHEN off > 0 THEN beta ELSE lo END, CASE WHEN off > 0 THEN hi ELSE beta END, step + 1, abs(off) < 1e-5 FROM "
+    "(SELECT src, beta, lo, hi, step, beta * ws / s + ln(s) - ln(5) AS off FROM "
+    "(SELECT b.src, beta, lo, hi, step, sum(exp(-beta * w)) AS s, sum(w * exp(-beta * w)) AS ws FROM b JOIN e ON e.src = b.src WHERE NOT done AND step < 200 GROUP BY b.src, beta, lo, hi, step))), "
+    "f AS (SELECT src, arg_max(used, step) AS beta FROM b GROUP BY src), "
+    "p AS (SELECT src, dst, exp(-beta * w) / sum(exp(-beta * w)) OVER (PARTITION BY src) AS p FROM e JOIN f USING (src))"
+)
+
+
+@query(
+    f"WITH RECURSIVE {V}, {sql_knn('list_distance(a.f, b.f)', 'v', 20)}, {_BISECT} "
+    "SELECT src, dst, round(sum(p) / 2, 6) AS weight FROM (SELECT src, dst, p FROM p UNION ALL SELECT dst, src, p FROM p) GROUP BY 1, 2"
+)
 def wij_perplexity(spark, sf):
     return weights.edge_weights(knn.exact_knn(emb(spark, sf), 20), 5.0).select("src", "dst", r6("weight", "weight"))
 
@@ -433,6 +448,12 @@ def ann_recall(spark, sf):
     return knn.recall(knn.exact_knn(v, K), knn.search(v, K, n_trees=20, max_iter=2, leaf=64)).select("hits", "total", r6("recall", "recall"))
 
 
+@query()
+def ann_grid(spark, sf):
+    rows = [(t, r, recall) for t, r, _, recall in knn.search_grid(emb(spark, sf), K, [5, 15], [0, 1], leaf=64)]
+    return spark.createDataFrame(rows, "n_trees int, max_iter int, recall double")
+
+
 @query()
 def ann_stored_index(spark, sf):
     v, path = emb(spark, sf), new_path(spark, "index")

@@ -23,8 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/nearfold/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, in a folder of this application."""
+    return f"{shared_dir(spark)}/nearfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to its folder. DataFrames that read it can't be used any more."""
+    discard(spark, f"{shared_dir(spark)}/nearfold/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

@@ -62,6 +62,16 @@ def test_metrics_are_checked():
         check_metric("chebyshev")
 
 
+def test_grid_and_metric_tag(spark):
+    rng = np.random.default_rng(2)
+    v = vec(spark, rng.normal(size=(80, 3)))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        grid = knn.search_grid(v, 5, [1, 4], [0, 1], "cosine", leaf=20)
+    assert [x[:2] for x in grid] == [(1, 0), (1, 1), (4, 0), (4, 1)] and all(x[2] > 0 for x in grid) and grid[3][3] > grid[0][3]
+    assert knn.metric_of(written(knn.exact_knn(v, 3, "cosine"), "knn")) == "cosine"
+
+
 def test_few_vectors_and_none(spark):
     assert knn.exact_knn(vec(spark, [[1.0, 2.0]]), 3).count() == 0
     assert knn.exact_knn(vec(spark, [[0.0], [1.0], [3.0]]), 10).count() == 6
