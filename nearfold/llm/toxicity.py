@@ -50,12 +50,12 @@ class Machine:
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, l2_w: float = 1e-4, l2_v: float = 1e-3, batch: int = 64) -> Machine:
-        """Adagrad on the logistic loss."""
+    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, least_steps: int = 3000, rate: float = 0.3, l2_w: float = 1e-5, l2_v: float = 1e-4, batch: int = 64) -> Machine:
+        """Adagrad on the logistic loss, for `epochs` rounds or, where that is longer, least_steps batches."""
         share = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
         self.w0 = float(np.log(share / (1 - share)))
         g0, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * batch // max(1, len(rows))))):
             order = self.rng.permutation(len(rows))
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
@@ -102,7 +102,7 @@ class _Features(dict):
         return np.array(sorted(found), np.int64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 4096, least_gain: float = 10.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, int], Machine]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 4096, least_gain: float = 4.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, int], Machine]:
     """(positions of the terms that the model has, the machine), from at most `sample` labelled rows of each kind, taken by hash.
 
     labels has doc_id and toxic. The terms are the at most `features` whose counts among the two kinds differ most, in
