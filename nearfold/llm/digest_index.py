@@ -97,7 +97,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that stay. Rows that repeat both doc_id and text count as one document."""
     seen = DigestIndex(spark).deduplicate(docs, "stage")
-    stay = seen.filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    mine = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    held = mine.join(stay.hint("merge"), mine.doc_id.eqNullSafe(stay._id) & (mine._digest == stay._digest), "left_semi")
-    return held.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    # one key for the join and for repeats, so that the texts are shuffled once: SHA-256 of id and text's digest
+    key = lambda i, digest: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), digest), 256))
+    stay = seen.filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_stays"))
+    mine = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return mine.hint("merge").join(stay, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
