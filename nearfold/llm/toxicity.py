@@ -107,7 +107,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
 
     labels has doc_id and toxic. The terms are the at most `features` whose counts among the two kinds differ most, in
     different texts, by log likelihood ratio, and by least_gain at least: fewer labels give fewer terms, and none that chance
-    explains. What goes to the driver is the sample's selected terms only.
+    explains. Added to them, without limit, are both terms of each pair that tells more than either does alone, by least_gain
+    above what the best of so many pairs has by chance. What goes to the driver are the sample's rows, in terms that may be either.
     """
     known = written(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic_labels")
     parts = [bounded_sample(known.filter(F.col("toxic") == y), sample).select(F.col("doc_id").alias("id"), "toxic") for y in (0, 1)]
@@ -129,13 +130,71 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
     p = F.lit(n1 / (n0 + n1))
     a, b = F.col("a"), F.col("c") - F.col("a")
     gain = F.when(a > 0, a * F.log(a / (F.col("c") * p))).otherwise(0.0) + F.when(b > 0, b * F.log(b / (F.col("c") * (1 - p)))).otherwise(0.0)
-    top = written(both.select("term", gain.alias("gain")).filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(features).select("term"), "top")
-    position = {t: k for k, t in enumerate(sorted(r.term for r in top.collect()))}
-    wanted = top.agg(F.collect_list("term").alias("x")).scalar()
-    rows = seen.select("toxic", F.array_intersect("terms", wanted).alias("terms")).collect()
-    sets = [np.array(sorted(position[t] for t in r.terms), np.int64) for r in rows]
-    order = sorted(range(len(sets)), key=lambda k: (sets[k].tolist(), rows[k].toxic))  # the same whatever the partitions
-    return position, Machine(len(position)).fit([sets[k] for k in order], np.array([rows[k].toxic for k in order], float))
+    both = written(both.withColumn("gain", gain).withColumn("open", -(F.when(a > 0, a * F.log(a / F.col("c"))).otherwise(0.0) + F.when(b > 0, b * F.log(b / F.col("c"))).otherwise(0.0))), "counts")
+    top = {r.term for r in both.filter(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(features).select("term").collect()}
+    # no pair of a term gains more over it than what is open of its texts' labels
+    m = both.filter(F.col("open") >= least_gain).count()
+    least = float(np.log(max(1, m * (m - 1) / 2))) + least_gain
+    mixed = both.filter(F.col("open") >= least)
+    held = sorted(top | {r.term for r in mixed.select("term").collect()})
+    place = np.full(SPACE, -1, np.int32)
+    place[held] = np.arange(len(held))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(1)
+            at = place[terms.flatten().to_numpy(zero_copy_only=False)]
+            until = np.concatenate([[0], np.cumsum(at >= 0)])[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(until.astype(np.int32), at[at >= 0])], ["toxic", "terms"])
+
+    rows = seen.select("toxic", "terms").mapInArrow(narrow, "toxic int, terms array<int>").toArrow()
+    sets = [x for part in rows.column("terms").chunks for x in np.split(part.flatten().to_numpy(), np.cumsum(part.value_lengths().to_numpy())[:-1])]
+    toxic = rows.column("toxic").to_numpy()
+    order = sorted(range(len(sets)), key=lambda k: (xxhash.xxh3_128_digest(sets[k].tobytes()), toxic[k]))  # the same whatever the partitions
+    sets, labels_of = [sets[k] for k in order], toxic[order].astype(float)
+    kept = np.array([t in top for t in held], bool)
+    kept[paired_terms(docs.sparkSession, sets, labels_of, len(held), least)] = True
+    new = np.cumsum(kept, dtype=np.int32) - 1
+    sets = [new[x[kept[x]]] for x in sets]
+    return {t: int(new[k]) for k, t in enumerate(held) if kept[k]}, Machine(int(kept.sum())).fit(sets, labels_of)
+
+
+def paired_terms(spark: SparkSession, sets: list[np.ndarray], labels: np.ndarray, n: int, least: float) -> list[int]:
+    """The terms, of n, of pairs whose texts are toxic at another rate than those of either term, by log likelihood ratio of at least `least`.
+
+    All pairs that share a text are counted, a term's with all others at a time, by tasks that hold the rows' terms.
+    """
+    kind = np.uint16 if n <= 1 << 16 else np.int32
+    flat = np.concatenate([*(x.astype(kind) for x in sets), np.zeros(0, kind)])
+    ends = np.cumsum([0, *map(len, sets)])
+    toxic = labels > 0
+    c = np.bincount(flat, minlength=n)
+    a = sum((np.bincount(sets[k], minlength=n) for k in np.flatnonzero(toxic)), np.zeros(n, np.int64))
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism, n // 16))
+
+    def counts(rows: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([*(flat[ends[d] : ends[d + 1]] for d in rows.tolist()), flat[:0]]), minlength=n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rate = np.zeros(n, bool), a / np.maximum(c, 1)
+        for part in (x for batch in batches for x in batch.column(0).to_pylist()):
+            low, high = n * part // parts, n * (part + 1) // parts
+            mine = np.flatnonzero((flat >= low) & (flat < high))
+            mine = mine[np.argsort(flat[mine], kind="stable")]
+            of_term = np.split(np.searchsorted(ends, mine, side="right") - 1, np.cumsum(c[low:high])[:-1]) if high > low else []
+            for i, rows in zip(range(low, high), of_term):
+                if not 0 < rate[i] < 1:
+                    continue
+                hits, misses = counts(rows[toxic[rows]]), counts(rows[~toxic[rows]])
+                both = np.flatnonzero((hits + misses > 0) & (rate > 0) & (rate < 1))
+                x, y, other = hits[both], misses[both], rate[both]
+                gain = lambda p: x * np.log(np.maximum(x, 1) / ((x + y) * p)) + y * np.log(np.maximum(y, 1) / ((x + y) * (1 - p)))  # noqa: B023, E731
+                near = both[np.minimum(gain(rate[i]), gain(other)) >= least]
+                found[near] = True
+                found[i] |= near.size > 0
+        yield pa.record_batch([pa.array(np.flatnonzero(found))], ["term"])
+
+    return sorted(r.term for r in spark.range(0, parts, 1, parts).mapInArrow(run, "term bigint").distinct().collect())
 
 
 def score(docs: DataFrame, position: dict[int, int], machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from nearfold.llm.toxicity import Machine, learn, op3_toxicity, score
+from nearfold.llm.toxicity import Machine, learn, op3_toxicity, score, terms_of
 
 
 def auc(pos, neg):
@@ -37,6 +37,23 @@ def test_pairs_that_additive_weights_miss():
     assert auc(s[y[1000:] == 1], s[y[1000:] == 0]) < 0.7
 
 
+def test_pairs_through_learning(spark):
+    """Toxic if and only if an insult meets a group, in words: the terms that tell only in a pair must reach the machine."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(1500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = (["moron"] if insult else []) + (["martians"] if group else []) + [f"w{x}" for x in rng.sample(range(40), 5)] + [f"n{i}"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult == group)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    position, machine = learn(docs, docs.filter("doc_id < 1000").select("doc_id", "toxic"))
+    assert {t for w in ("moron", "martians") for t in terms_of(w)} <= set(position)
+    got = score(docs.filter("doc_id >= 1000"), position, machine).collect()
+    pos, neg = (np.array([r.score for r in got if rows[r.doc_id][2] == y]) for y in (1, 0))
+    assert len(got) == 500 and auc(pos, neg) > 0.95
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
