@@ -22,6 +22,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS + "+"), "")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """SHA-256 of a row's id and its text's digest; null text counts as empty, a null id as itself."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest), 256))
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_share: float = 1e-3, hot_least: int = 20_000) -> DataFrame:
     """Left join of rows to groups, which has one row per value of the non-null keys and the number of rows in `size`.
 

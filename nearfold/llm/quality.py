@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_sample, sliced, table
+from nearfold.llm.common import bounded_sample, row_key, sliced, table
 from nearfold.scratch import written
 
 WORDS, PAIRS, SHAPES = 4096, 4096, 64
@@ -82,18 +82,22 @@ def log_ratios(counts: list, smooth: float = 1.0) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_grams, log_weight): log of the target model's likelihood of a whole text over the raw model's."""
+def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(id, n_grams, log_weight, and key as _key if given): log of the target model's likelihood of a whole text over the raw model's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
             bucket, doc = grams([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
             n = part.num_rows
             yield pa.record_batch(
-                [part.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, ratios[bucket], minlength=n).astype(float))], ["id", "n_grams", "log_weight"]
+                [part.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, ratios[bucket], minlength=n).astype(float)), *part.columns[2:]],
+                ["id", "n_grams", "log_weight", *part.schema.names[2:]],
             )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_grams bigint, log_weight double")
+    more = [] if key is None else [key.alias("_key")]
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(
+        run, "id bigint, n_grams bigint, log_weight double" + ", _key binary" * len(more)
+    )
 
 
 def kth_largest(rows: DataFrame, key: str, k: int, few: int = 2000) -> float:
@@ -133,7 +137,7 @@ def best_cut(good: np.ndarray, bad: np.ndarray, loss: float) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = 20_000, scale: float = 64.0, loss: float = 8.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = 20_000, scale: float = 64.0, loss: float = 8.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None
 ) -> DataFrame:
     """One row per row of docs: id, n_grams, log_weight, score, draw, kept.
 
@@ -153,7 +157,7 @@ def resample(
     good, bad = (written(bounded_sample(marks.filter(F.col("quality") == q), sample).select("doc_id"), "chosen") for q in (1, 0))
     ratios = log_ratios(count_grams(docs, good, id_col, text_col).collect())  # one row per bucket
     noise = -F.log(-F.log((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
-    weighed = log_weights(docs, ratios, id_col, text_col).withColumn("score", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")))
+    weighed = log_weights(docs, ratios, id_col, text_col, key).withColumn("score", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")))
     drawn = written(weighed.withColumn("draw", scale * F.col("score") + noise), "draws")
     real = drawn.filter("score is not null")
     n = real.count()
@@ -173,5 +177,6 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are drawn. Rows of one id and text are drawn or rejected together."""
-    gone = resample(docs, table(spark, sf_dir, "labels")).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("n_grams").alias("_n"), "log_weight").distinct()
-    return docs.join(gone.select("_gone").distinct().hint("merge"), docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    key = row_key(F.col("doc_id"), F.col("text"))
+    gone = resample(docs, table(spark, sf_dir, "labels"), key=key).filter("not kept").select(F.col("_key").alias("_gone")).distinct()
+    return docs.withColumn("_key", key).join(gone.hint("merge"), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import attach, sliced, table
+from nearfold.llm.common import attach, row_key, sliced, table
 from nearfold.operators.components import connected_components
 from nearfold.scratch import written
 
@@ -35,15 +35,16 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit number. Null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, key: Column | None = None) -> DataFrame:
+    """(id, fp, and key as _key if given): fp is the fingerprint as a signed 64-bit number. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
             fps = [fingerprint(t or b"", shingle) for t in part.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.record_batch([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), *part.columns[2:]], ["id", "fp", *part.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    more = [] if key is None else [key.alias("_key")]
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "id bigint, fp bigint" + ", _key binary" * len(more))
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -165,15 +166,15 @@ def near_links(fps: DataFrame, bits: int = 4, block: int = 20_000) -> DataFrame:
     return spread.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4, key: Column | None = None) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id.
 
     Documents whose fingerprints differ in at most `bits` bits are linked; component_id is the smallest id reachable,
     itself included. Equal fingerprints are linked before anything is compared, so copies cost nothing. Texts without
     words have fingerprint zero and are linked like any other. Null ids are never the smallest; a component that has
-    no other id has component_id null. Other columns are ignored.
+    no other id has component_id null. Other columns are ignored; key comes along as _key.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    marked = written(fingerprints(docs, id_col, text_col, shingle, key), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fps")
     links = written(near_links(fps, bits), "links")
     joined = connected_components(links).join(fps.select(F.col("fp").alias("node"), "least"), "node")
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = joined.join(least, "component").select(F.col("node").alias("fp"), "whole")
     classes = written(fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id")), "classes")
     return attach(marked, classes, ["fp"], "n").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([] if key is None else ["_key"])
     )
 
 
@@ -191,6 +192,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; rows without an id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), docs.doc_id == F.col("_gone"), "left_anti")
+    """The document with the smallest id of each component stays; rows without an id stay. Rows are told apart by id and text."""
+    key = row_key(F.col("doc_id"), F.col("text"))
+    gone = near_duplicates(docs, key=key).filter("doc_id <> component_id").select(F.col("_key").alias("_gone"))
+    return docs.withColumn("_key", key).join(gone.hint("merge"), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")

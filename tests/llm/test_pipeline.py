@@ -52,3 +52,17 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "stage")
         assert docs.count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """A rejected row takes no other row of its id, or without an id, along."""
+    text = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id = 1").first().text
+    quality, near = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[2][1]
+    base = [(i, text, "en", "s", 1) for i in (10, 11, 12)]
+    docs = spark.createDataFrame([*base, (None, "", "en", "s", 1), (None, text, "en", "s", 1), (12, "", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    real = quality(spark, docs.limit(0), SF).count()
+    kept = [(r.doc_id, r.text) for r in quality(spark, docs, SF).collect()]
+    assert real == 0 and (None, text) in kept and (12, text) in kept and all(t for _, t in kept)
+    rows = [(1, "one two three four five"), (2, "one two three four five"), (2, "quite another text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in near(spark, docs, SF).collect()) == [rows[0], rows[2]]
