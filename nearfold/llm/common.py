@@ -22,12 +22,22 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS + "+"), "")
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """SHA-256 of a row's id and its text's digest; null text counts as empty, a null id as itself."""
-    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+def key_of(doc_id: Column, digest: Column) -> Column:
+    """SHA-256 of a row's id and its text's digest in hex; a null id counts as itself."""
     return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), digest), 256))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """key_of a row; null text counts as empty."""
+    return key_of(doc_id, F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, key: Column, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose row_key is in `keys` (column _key), or with how="left_anti" is not. Columns of docs may have any names."""
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), key.alias("key"))
+    return packed.join(keys.select(F.col("_key").alias("chosen")).hint("merge"), F.col("key") == F.col("chosen"), how).select("row.*")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_share: float = 1e-3, hot_least: int = 20_000) -> DataFrame:
     """Left join of rows to groups, which has one row per value of the non-null keys and the number of rows in `size`.
 

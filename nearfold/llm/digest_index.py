@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import attach, table
+from nearfold.llm.common import attach, key_of, row_key, table
 from nearfold.scratch import new_path, written
 
 
@@ -95,10 +95,12 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that stay. Rows that repeat both doc_id and text count as one document."""
+    """The documents that stay: of equal texts the row with the largest id, null ids last.
+
+    Null text counts as empty. Rows that repeat both doc_id and text count as one document, of which one row stays; columns may have any names.
+    """
     seen = DigestIndex(spark).deduplicate(docs, "stage")
     # one key for the join and for repeats, so that the texts are shuffled once: SHA-256 of id and text's digest
-    key = lambda i, digest: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), digest), 256))
-    stay = seen.filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_stays"))
-    mine = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return mine.hint("merge").join(stay, F.col("_key") == F.col("_stays"), "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    stay = seen.filter("kept").select(key_of(F.col("doc_id"), F.col("text_sha256")).alias("chosen"))
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    return packed.hint("merge").join(stay, F.col("key") == F.col("chosen"), "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import bounded_sample, row_key, sliced, table
+from nearfold.llm.common import bounded_sample, row_key, rows_of, sliced, table
 from nearfold.scratch import written
 
 WORDS, PAIRS, SHAPES = 4096, 4096, 64
@@ -178,5 +178,5 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are drawn. Rows of one id and text are drawn or rejected together."""
     key = row_key(F.col("doc_id"), F.col("text"))
-    gone = resample(docs, table(spark, sf_dir, "labels"), key=key).filter("not kept").select(F.col("_key").alias("_gone")).distinct()
-    return docs.withColumn("_key", key).join(gone.hint("merge"), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    gone = resample(docs, table(spark, sf_dir, "labels"), key=key).filter("not kept").select("_key").distinct()
+    return rows_of(docs, gone, key, "left_anti")

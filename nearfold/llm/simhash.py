@@ -3,37 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import attach, row_key, sliced, table
+from nearfold.llm.common import attach, row_key, rows_of, sliced, table
+from nearfold.llm.fingerprints import fingerprint, posting_keys
+from nearfold.llm.resemblance import WORDS, resembling, signatures
 from nearfold.operators.components import connected_components
 from nearfold.scratch import written
 
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """64 bits, each set if over half of the shingles' XXH64 (seed 42) have it set; zero without words."""
-    words = text.translate(LOWER).split()  # bytes.split() takes exactly the six blanks
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
-    digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), "<u8", n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
-
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, key: Column | None = None) -> DataFrame:
     """(id, fp, and key as _key if given): fp is the fingerprint as a signed 64-bit number. Null text counts as empty."""
@@ -47,26 +28,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "id bigint, fp bigint" + ", _key binary" * len(more))
 
 
-def covering_triples() -> list[tuple[int, int, int]]:
-    """20 triples of the 8 byte positions, of which every four positions contain one (Turan's construction)."""
-    a, b, c = (0, 1, 2), (3, 4, 5), (6, 7)
-    found = [t for g in (a, b, c) for t in combinations(g, 3)]
-    for two, one in ((a, b), (b, c), (c, a)):
-        found += [(*p, x) for p in combinations(two, 2) for x in one]
-    return [tuple(sorted(t)) for t in found]
-
-
-def _posting_keys(fp: Column) -> Column:
-    """One number for each triple: which it is, and the three bytes there."""
-    byte = lambda i: F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255).cast("bigint"))
-    return F.array(
-        *(
-            F.lit(k << 24).cast("bigint") + byte(x) * 65536 + byte(y) * 256 + byte(z)
-            for k, (x, y, z) in enumerate(covering_triples())
-        )
-    )
-
-
 class _Forest:
     """Union-find that keeps only links that join two trees."""
 
@@ -124,15 +85,14 @@ def near_links(fps: DataFrame, bits: int = 4, block: int = 20_000) -> DataFrame:
     fps has the column fp, each value once. Two such fingerprints share at least 8 - bits = 4 of their 8 bytes, hence
     one of 20 covering triples of positional bytes: each triple's value is a posting list. Pairs within a list are
     tallied by all their shared positional bytes, those of four or more verified by their bits. Lists longer than
-    `block` are cut into blocks and each pair of blocks is a task of its own, so no list is ever held whole or cut off.
+    `block` are cut into blocks, each pair of which is a run of its own, so none is cut off.
     """
     if bits > 4:
         raise ValueError("the covering triples guarantee a shared list up to 4 bits")
-    index = fps.select("fp", F.explode(_posting_keys(F.col("fp"))).alias("key"))
-    total = 20 * fps.count()
-    limit = max(block, total // 50_000)
-    # at most total / limit <= 50,000 keys are that frequent
-    heavy = F.broadcast(written(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "heavy"))
+    index = fps.select("fp", F.explode(posting_keys(F.col("fp"))).alias("key"))
+    long = written(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "long_lists")
+    # by number, long lists are at most a block-th of all postings; joined as they are where those are many
+    heavy = F.broadcast(long) if long.count() <= 100_000 else long.hint("merge")
     blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     spread = (
@@ -166,33 +126,54 @@ def near_links(fps: DataFrame, bits: int = 4, block: int = 20_000) -> DataFrame:
     return spread.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4, key: Column | None = None) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 hex digits), component_id.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, shingle: int = 4, similarity: float | None = None, key: Column | None = None
+) -> DataFrame:
+    """One row per row of docs: id, fingerprint (16 hex digits), component_id, and with a key also _key and component.
 
     Documents whose fingerprints differ in at most `bits` bits are linked; component_id is the smallest id reachable,
     itself included. Equal fingerprints are linked before anything is compared, so copies cost nothing. Texts without
     words have fingerprint zero and are linked like any other. Null ids are never the smallest; a component that has
-    no other id has component_id null. Other columns are ignored; key comes along as _key.
+    no other id has component_id null. Other columns are ignored; component numbers components, those without ids too.
+
+    With a similarity, documents are linked instead if their sets of shingles share at least that part of their union, which
+    goes far beyond four bits: the index then also holds words of minimal bytes, and candidates are verified by their
+    shingles (resemblance.resembling). Texts without words are then alike among themselves only.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle, key), "fingerprints")
-    fps = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fps")
-    links = written(near_links(fps, bits), "links")
-    joined = connected_components(links).join(fps.select(F.col("fp").alias("node"), "least"), "node")
+    key = F.lit(None).cast("binary") if key is None else key
+    if similarity is None:
+        marked = written(fingerprints(docs, id_col, text_col, shingle, key), "fingerprints")
+        fps = written(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "fps")
+        comp = connected_components(written(near_links(fps, bits), "links"))
+        by, nodes = "fp", fps.withColumn("node", F.col("fp"))
+    else:
+        marked = written(signatures(docs, id_col, text_col, shingle, key).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        small = marked.drop("shingles")
+        fps = written(small.groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*WORDS, "size"))), "classes")
+        comp = resembling(fps.filter("size > 0").select("node", *WORDS, "size"), marked.select(F.col("row").alias("node"), "shingles"), similarity)
+        by, nodes = "digest", fps
+    joined = written(comp.join(nodes.select("node", "least"), "node"), "joined")
     least = joined.groupBy("component").agg(F.min("least").alias("whole"))
-    linked = joined.join(least, "component").select(F.col("node").alias("fp"), "whole")
-    classes = written(fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id")), "classes")
-    return attach(marked, classes, ["fp"], "n").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([] if key is None else ["_key"])
+    linked = joined.join(least, "component").select("node", "component", "whole")
+    whole = nodes.join(linked, "node", "left").select(by, "n", F.coalesce("component", "node").alias("component"), F.coalesce("whole", "least").alias("component_id"))
+    shown = marked.select("id", "fp", "_key", *([by] if by != "fp" else []))
+    return attach(shown, written(whole, "classes"), [by], "n").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "_key", "component"
     )
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents`: four-word shingles, at most four differing bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_key", "component")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays; rows without an id stay. Rows are told apart by id and text."""
+    """One document of each group stays: the one with the smallest id, or the smallest digest among rows without ids.
+
+    Documents are linked if their sets of five-word shingles share 0.8 of their union or more. Null texts count as empty, and texts without words
+    are one group. Rows are told apart by id and text, so a row that repeats stays or goes with its repeats; columns may have any names.
+    """
     key = row_key(F.col("doc_id"), F.col("text"))
-    gone = near_duplicates(docs, key=key).filter("doc_id <> component_id").select(F.col("_key").alias("_gone"))
-    return docs.withColumn("_key", key).join(gone.hint("merge"), F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
+    found = near_duplicates(docs, shingle=5, similarity=0.8, key=key)
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_key"))).alias("first")).select(F.col("first._key").alias("_key"))
+    return rows_of(docs, stay, key)

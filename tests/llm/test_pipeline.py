@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 from nearfold.llm.secrets import base_spans
 from nearfold.scratch import written
-from tests.llm.test_simhash import classes, plain
+from tests.llm.test_resemblance import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,8 +25,7 @@ def test_every_stage_against_brute_force(spark):
     for r in rows[1]:
         last[hashlib.sha256(r[1].encode()).digest()] = r
     assert rows[2] == sorted(last.values())
-    fps = [plain(r[1]) for r in rows[2]]
-    assert rows[3] == [r for k, (r, c) in enumerate(zip(rows[2], classes(fps))) if c == k]
+    assert rows[3] == [r for k, (r, c) in enumerate(zip(rows[2], groups([r[1] for r in rows[2]]))) if c == k]
     assert [r[0] for r in rows[4]] == [r[0] for r in rows[3]]
     for before, after in zip(rows[3], rows[4]):
         assert not base_spans(after[1]) and after[4] == len(after[1])
@@ -66,3 +65,16 @@ def test_rows_are_judged_one_by_one(spark):
     rows = [(1, "one two three four five"), (2, "one two three four five"), (2, "quite another text of its own")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(tuple(r) for r in near(spark, docs, SF).collect()) == [rows[0], rows[2]]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the operators use themselves, nulls and repeats, through all stages that return documents."""
+    text = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id = 1").first().text
+    extra = ["_key", "_gone", "_stays", "chosen", "key", "row", "draw", "kept", "component", "fp", "node", "spans", "size"]
+    rows = [(i, t, "en", "s", 1, *range(len(extra))) for i, t in [(1, text), (1, text), (2, text + " and one"), (None, text + "!"), (None, None), (3, "")]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"{x} int" for x in extra))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+        assert docs.columns[5:] == extra and docs.filter(" or ".join(f"{x} <> {k}" for k, x in enumerate(extra))).count() == 0
+    assert docs.count() == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 1
