@@ -160,7 +160,50 @@ class Packing:
         held = bins >= 0
         _, bins[held] = np.unique(bins[held], return_inverse=True)
         fills = np.bincount(bins[held], self.lengths[held]).astype(int).tolist()
-        return self.best_fit(bins, fills, self.falling(np.flatnonzero(~held)))
+        displaced = self.exchange(bins, fills, np.flatnonzero(~held))
+        return self.best_fit(bins, fills, self.falling(displaced))
+
+    def exchange(self, bins: np.ndarray, fill: list[int], displaced: np.ndarray, most: int = 48) -> np.ndarray:
+        """Exchanges one or two items of a bin for one or two displaced ones that fill it better; returns the items displaced then.
+
+        What is displaced gets smaller or fewer, so that best fit places it more easily. Of many displaced items a random `most` are tried
+        a bin, and bins in random order.
+        """
+        out = displaced.tolist()
+        order = np.argsort(bins, kind="stable")
+        ends = np.searchsorted(bins[order], np.arange(len(fill) + 1))
+        for b in self.rng.permutation(len(fill)).tolist():
+            gap = self.capacity - fill[b]
+            if not gap or not out:
+                continue
+            own = order[ends[b] : ends[b + 1]]
+            tried = np.array(out if len(out) <= most else [out[k] for k in self.rng.choice(len(out), most, replace=False)])
+            taken, give = self._ones_and_twos(own), self._ones_and_twos(tried)
+            at = np.searchsorted(give[0], taken[0] + gap, side="right") - 1
+            gain = np.where(at >= 0, give[0][np.maximum(at, 0)] - taken[0], 0)
+            best = int(gain.argmax())
+            if gain[best] <= 0:
+                continue
+            leave = {int(x) for x in own[taken[1][best]]}
+            enter = {int(x) for x in tried[give[1][at[best]]]}
+            for x in leave:
+                bins[x] = -1
+            for x in enter:
+                bins[x] = b
+            fill[b] += int(gain[best])
+            out = [x for x in out if x not in enter] + sorted(leave)
+        return np.array(out, np.int64)
+
+    def _ones_and_twos(self, items: np.ndarray, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all single items and of pairs among at most the first `most`, in order, and the positions of their items, the same twice for single ones."""
+        n = len(items)
+        i, j = np.triu_indices(min(n, most))
+        more = np.arange(min(n, most), n)
+        i, j = np.concatenate([i, more]), np.concatenate([j, more])
+        size = self.lengths[items]
+        sums = size[i] + np.where(i == j, 0, size[j])
+        order = np.argsort(sums, kind="stable")
+        return sums[order], np.stack([i, j], 1)[order]
 
     def evolve(self, genomes: list[np.ndarray], generations: int) -> list[np.ndarray]:
         """Best first. Ends early when the best needs no more bins than the total length demands."""
@@ -176,19 +219,35 @@ class Packing:
 
 
 def pack(
-    items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 2, population: int = 4, epochs: int = 2, generations: int = 12, seed: int = 7
+    items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 40, spare: int = 8, seed: int = 7
 ) -> DataFrame:
     """(rid, sequence_id, place) for items (rid unique, length at most capacity), with as few sequences as it can.
 
     Items are spread by hash over blocks of about `block`; no task holds more. A block is evolved on several islands at once,
-    each a row of its own; between epochs every island's elite migrates to the next island of its block. Items of the full
-    capacity are sequences of their own. The state of each epoch is a table in the shared folder.
+    each a row of its own; between epochs every island's elite migrates to the next island of its block. A block that needs no more
+    bins than its total length demands is done. The `spare` emptiest bins of every block are dissolved, and their items go through the
+    same in blocks of their own, until one block is left: so blocks together lose about one sequence, not half a sequence each.
+    Items of the full capacity are sequences of their own. The state of each epoch is a table in the shared folder.
     """
-    spark = items.sparkSession
-    part = items.filter(F.col("length") < capacity)
-    blocks = max(1, math.ceil(part.count() / block))
+    left, done, level = written(items.filter(F.col("length") < capacity).select("rid", "length"), "items"), [], 0
+    while True:
+        blocks = max(1, math.ceil(left.count() / block))
+        placed = written(_pack_blocks(left, blocks, capacity, islands, population, epochs, generations, spare if blocks > 1 else 0, [seed, level]), "placed")
+        done.append(placed.filter("not spare").select("rid", (F.col("sequence_id") + (level << 56)).alias("sequence_id"), "place"))
+        if blocks == 1:
+            break
+        left, level = placed.filter("spare").select("rid", "length"), level + 1
+    full = items.filter(F.col("length") == capacity).select("rid", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("place"))
+    for x in done:
+        full = full.unionByName(x)
+    return full
+
+
+def _pack_blocks(part: DataFrame, blocks: int, capacity: int, islands: int, population: int, epochs: int, generations: int, spare: int, seed: list[int]) -> DataFrame:
+    """(rid, length, sequence_id, place, spare) of items spread over blocks that evolve each by itself; spare marks those in the emptiest bins."""
+    spark = part.sparkSession
     held = written(
-        part.groupBy(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(blocks)).alias("block"))
+        part.groupBy(F.pmod(F.xxhash64("rid", F.lit(seed[0] + 1000 * seed[1])), F.lit(blocks)).alias("block"))
         .agg(F.array_sort(F.collect_list(F.struct("rid", F.col("length").cast("int").alias("length")))).alias("x"))
         .select("block", "x.rid", F.col("x.length").alias("lengths")),
         "blocks",
@@ -201,28 +260,35 @@ def pack(
                 for k in range(batch.num_rows):
                     row = {name: batch.column(name)[k] for name in batch.schema.names}
                     number, island = row["block"].as_py(), row["island"].as_py()
-                    work = Packing(row["lengths"].values.to_numpy(), capacity, [seed, number, island, epoch])
+                    work = Packing(row["lengths"].values.to_numpy(), capacity, [*seed, number, island, epoch])
                     if epoch == 0:
                         genomes = [work.fresh(0.0 if j == 0 and island == 0 else 0.15 * (j + island)) for j in range(population)]
                     else:
                         genomes = [np.frombuffer(g, "<i4").astype(np.int64) for g in [row["elite"].as_py(), *row["genomes"].as_py()]]
                     genomes = work.evolve(genomes, generations)[:population]
                     bins, total = work.fitness(genomes[0])
+                    if -bins <= work.least:
+                        genomes = genomes[:1]  # nothing is left to win
                     yield pa.record_batch(
                         [pa.array([number]), pa.array([island], pa.int32()), pa.array([row["lengths"].as_py()], pa.list_(pa.int32())),
-                         pa.array([[g.astype("<i4").tobytes() for g in genomes]], pa.list_(pa.binary())), pa.array([-bins]), pa.array([total])],
-                        ["block", "island", "lengths", "genomes", "bins", "fitness"],
+                         pa.array([[g.astype("<i4").tobytes() for g in genomes]], pa.list_(pa.binary())), pa.array([-bins]), pa.array([total]), pa.array([-bins > work.least])],
+                        ["block", "island", "lengths", "genomes", "bins", "fitness", "open"],
                     )
 
         return step
 
-    schema = "block bigint, island int, lengths array<int>, genomes array<binary>, bins bigint, fitness double"
+    schema = "block bigint, island int, lengths array<int>, genomes array<binary>, bins bigint, fitness double, open boolean"
     begin = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths")
     state = written(begin.repartition(at_once, "block", "island").mapInArrow(run(0), schema), "islands")
     for epoch in range(1, epochs):
-        elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("genomes")[0].alias("elite"))
+        alive = state.groupBy("block").agg(F.min("open").alias("alive")).filter("alive").select("block")
+        alive = written(alive, "alive")
+        if alive.isEmpty():
+            break
+        elite = state.join(alive.hint("merge"), "block", "left_semi").select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("genomes")[0].alias("elite"))
         moved = state.join(elite.hint("shuffle_hash"), ["block", "island"])
-        state = written(moved.repartition(at_once, "block", "island").mapInArrow(run(epoch), schema), "islands")
+        rest = state.join(alive.hint("merge"), "block", "left_anti")
+        state = written(moved.repartition(at_once, "block", "island").mapInArrow(run(epoch), schema).unionByName(rest), "islands")
     best = state.groupBy("block").agg(F.max_by(F.col("genomes")[0], F.struct(-F.col("bins"), "fitness", -F.col("island"))).alias("genome"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +301,13 @@ def pack(
                 first = np.concatenate([[True], bins[order][1:] != bins[order][:-1]])
                 offset = np.empty(len(bins), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
+                fill = np.bincount(bins, lengths)
+                few = min(spare, max(1, len(fill) // 4), len(fill) - 1)  # what is packed again is always a part
+                emptiest = np.isin(bins, np.argsort(fill, kind="stable")[:few])
                 number = batch.column("block")[k].as_py()
-                yield pa.record_batch([pa.array(rid), pa.array(bins + (number << 24)), pa.array(offset)], ["rid", "sequence_id", "place"])
+                yield pa.record_batch([pa.array(rid), pa.array(lengths), pa.array(bins + (number << 24)), pa.array(offset), pa.array(emptiest)], ["rid", "length", "sequence_id", "place", "spare"])
 
-    placed = held.join(best, "block").select("block", "rid", "lengths", "genome").mapInArrow(place, "rid bigint, sequence_id bigint, place bigint")
-    full = items.filter(F.col("length") == capacity).select("rid", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("place"))
-    return placed.unionByName(full)
+    return held.join(best, "block").select("block", "rid", "lengths", "genome").mapInArrow(place, "rid bigint, length bigint, sequence_id bigint, place bigint, spare boolean")
 
 
 def packed_pieces(docs: DataFrame, path: str | None = None, with_ids: bool = False, capacity: int = CAPACITY, **options) -> DataFrame:

@@ -54,7 +54,7 @@ def test_pieces_and_places(spark):
             at += length
         assert at <= 2048
     total = sum(len(ids) for _, ids in texts)
-    assert -(-total // 2048) <= len(packed) <= -(-total // 2048) * 1.02 + 5
+    assert -(-total // 2048) <= len(packed) <= -(-total // 2048) + 1  # whatever the blocks
     joined = {r.sequence_id: len(r.ids) // 4 for r in sequences(got).collect()}
     assert joined == {k: sum(n for _, n in v) for k, v in packed.items()}
 
@@ -82,3 +82,32 @@ def test_same_for_any_partitions(spark):
     items = spark.range(500).select(F.col("id").alias("rid"), (F.pmod(F.xxhash64("id"), F.lit(2048)) + 1).alias("length"))
     one = {tuple(r) for r in pack(items.repartition(7), block=100).collect()}
     assert one == {tuple(r) for r in pack(items.coalesce(1), block=100).collect()} and len(one) == 500
+
+
+def test_genes_beat_best_fit_on_awkward_lengths():
+    """Triples that fill a bin exactly, where best fit of falling lengths wastes every seventh bin."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        a = rng.integers(380, 490, 60)
+        b = np.array([rng.integers(250, (1000 - x) // 2 + 1) for x in a])
+        work = Packing(np.concatenate([a, b, 1000 - a - b]), 1000, [seed])
+        falling = -work.fitness(work.fresh(0.0))[0]
+        assert falling >= 68 and -work.fitness(work.evolve([work.fresh(0.15 * j) for j in range(6)], 120)[0])[0] <= 62
+
+
+def test_islands_beat_best_fit(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(780, 1000, 240)
+    lengths = np.concatenate([a, b := np.array([rng.integers(512, (2048 - x) // 2 + 1) for x in a]), 2048 - a - b])
+    items = spark.createDataFrame([(k, int(x)) for k, x in enumerate(lengths)], "rid bigint, length bigint")
+    count = lambda **options: pack(items, **options).agg(F.count_distinct("sequence_id")).first()[0]
+    plain = count(block=5000, generations=0, epochs=1, islands=1, population=1)
+    alone, moved = count(block=200, epochs=1, islands=1), count(block=200)
+    assert plain >= 265 and moved <= alone and moved <= 250
+
+
+def test_blocks_lose_about_one_sequence(spark):
+    items = spark.range(3000).select(F.col("id").alias("rid"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 1).alias("length"))
+    total = items.agg(F.sum("length")).first()[0]
+    got = pack(items, block=100).collect()
+    assert len(got) == 3000 and len({r.sequence_id for r in got}) <= -(-total // 2048) + 1
