@@ -42,17 +42,23 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-# Tokens that can be secret have eight characters of this set and a digit, a symbol or a capital after a small letter.
+# Regions are what the field reads: the surroundings of long tokens with a digit, a symbol or a capital after a small letter, of
+# values under names such as pwd, and of credentials in addresses. Everything else is outside by constraint.
 INNER = frozenset(string.ascii_letters + string.digits + "+/_.=-")
 TRIGGER = re.compile(r"[0-9+/_=-]|[a-z][A-Z]")
 TAIL = re.compile(r"[A-Za-z0-9+/_.=-]+")
-NEAR = re.compile(r"[^\W_]+|[^\w\s]|_")
-KEYLIKE = re.compile(r"key|token|secret|passw|pwd|auth|cred|bearer|private|signature|session", re.I)
-LEAST = 8
+NAMES = ("pass", "pwd", "secret", "token", "auth", "cred", "bearer", "private", "signature", "session", "key")
+NAMED = re.compile(r"(?:pass|pwd|secret|token|auth|cred|bearer|private|signature|session|key)[\w-]{0,24}[\"']?[ \t]{0,3}(?:=>|:=|[:=])", re.I)
+ADDRESS = re.compile(r"://[^\s/:@]{1,64}:[^\s/@]{1,128}@")
+KEYLIKE = re.compile(r"key|token|secret|pass|pwd|auth|cred|bearer|private|signature|session", re.I)
+#: Words and numbers with what joins them, base64 with its padding, and all other marks one by one.
+TOKEN = re.compile(r"\w(?:[\w+/.-]*[\w+/])?(?:(?<=[\w+/]{16})={1,2}(?![\w=]))?|\S")
+BLANK = re.compile(r"\s")
+LEAST, BEFORE, AFTER, CHUNK = 8, 40, 24, 200
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the tokens that can be secret; all other tokens are outside by constraint."""
+    """(start, end) of long tokens that can be secret by themselves."""
     done = 0
     for m in TRIGGER.finditer(text):
         if m.start() < done:
@@ -70,6 +76,32 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def regions(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what the field reads, in order and apart. They begin and end between words, if one is near."""
+    found = [(s, e + 8) for s, e in candidates(text)]
+    low = text.lower()
+    if any(x in low for x in NAMES):
+        found += [(m.start(), m.end() + AFTER) for m in NAMED.finditer(text)]
+    if "://" in text and "@" in text:
+        found += [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        a = max(0, s - BEFORE)
+        if a and (blank := BLANK.search(text, a, s)):
+            a = blank.end()
+        blank = BLANK.search(text, min(e, len(text)), min(len(text), e + CHUNK))
+        b = blank.start() if blank else min(len(text), e + CHUNK)
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text, start, end)]
+
+
 def _bucket(x: float, *edges: float) -> int:
     return sum(x >= e for e in edges)
 
@@ -81,42 +113,82 @@ def file_features(text: str) -> list[str]:
     return [f"file=marks{_bucket(marks, 0.2, 2, 10)}", f"file=size{_bucket(n, 200, 2000, 20000)}"]
 
 
-def token_features(text: str, start: int, end: int, file: list[str]) -> list[str]:
-    """Shape of a token, the words around it, and the file's features."""
-    token = text[start:end]
-    n = len(token)
-    kinds = Counter("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in token)
-    classes = [("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-") for c in token]
-    turns = sum(x != y for x, y in zip(classes, classes[1:])) / n
-    entropy = -sum(v / n * math.log2(v / n) for v in Counter(token).values())
-    digits = kinds["0"] / n
-    out = [
-        "bias", f"len{_bucket(n, 12, 16, 20, 24, 32, 40, 64)}", f"digits{_bucket(digits, 0.01, 0.1, 0.3, 0.6, 0.99)}", f"turns{_bucket(turns, 0.1, 0.2, 0.35, 0.5)}",
-        f"entropy{_bucket(entropy, 2, 2.5, 3, 3.5, 4, 4.5)}", "set=" + "".join(sorted(kinds)), f"shape={re.sub(r'(.)\1+', r'\1', ''.join(classes))[:6]}",
-        f"turns{_bucket(turns, 0.2, 0.35)}entropy{_bucket(entropy, 3, 3.5, 4)}digits{_bucket(digits, 0.01, 0.3)}",
-        "hex" if all(c in "0123456789abcdefABCDEF" for c in token) else "nothex", f"begins={token[:4] if token[:4].isalpha() else classes[0]}",
-    ]
-    if "." in token or "/" in token:
-        out.append(f"parts{min(5, len(re.split('[./]', token)))}" + ("word" if max(map(len, re.findall("[a-z]+", token)), default=0) > 4 else "noword"))
-    before = [m.group().lower()[:12] for m in NEAR.finditer(text, max(0, start - 40), start)][-3:]
-    after = NEAR.search(text, end, min(len(text), end + 20))
-    for k, w in enumerate(reversed(before), 1):
-        out.append(f"before{k}={w}")
-    out.append("after=" + (after.group().lower()[:12] if after else "end"))
-    if any(KEYLIKE.search(w) for w in before):
-        out.append("keylike")
-        if any(w in "=:" for w in before):
-            out.append("keylike=")
-    if before and before[-1] in "=:\"'":
-        out.append("assigned")
-    return out + file
+class _Shapes(dict):
+    """token -> features of its letters alone, computed once per distinct token while the cache lasts."""
+
+    def __missing__(self, token: str) -> list[str]:
+        if len(self) > 200_000:
+            self.clear()
+        n = len(token)
+        if n == 1:
+            out = [f"mark={token}" if not token.isalnum() else "one"]
+        else:
+            classes = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-" for c in token]
+            kinds = Counter(classes)
+            turns = sum(x != y for x, y in zip(classes, classes[1:])) / n
+            entropy = -sum(v / n * math.log2(v / n) for v in Counter(token).values())
+            words = max(map(len, re.findall("[a-z]+", token)), default=0)
+            out = [
+                f"len{_bucket(n, 4, 8, 12, 16, 20, 24, 32, 40, 60)}", f"digits{_bucket(kinds['0'] / n, 0.01, 0.1, 0.3, 0.6, 0.99)}", f"turns{_bucket(turns, 0.1, 0.2, 0.35, 0.5)}",
+                f"entropy{_bucket(entropy, 2, 2.5, 3, 3.5, 4, 4.5)}", "set=" + "".join(sorted(kinds)), f"shape={re.sub(r'(.)\1+', r'\1', ''.join(classes))[:6]}",
+                f"turns{_bucket(turns, 0.2, 0.35)}entropy{_bucket(entropy, 3, 3.5, 4)}digits{_bucket(kinds['0'] / n, 0.01, 0.3)}len{_bucket(n, 12, 20, 32)}",
+                "hex" if n >= 8 and all(c in "0123456789abcdefABCDEF" for c in token) else "nothex", f"begins={token[:4]}" if token[:4].isalpha() else f"begins={classes[0]}",
+            ]
+            if n <= 14 and token.isalpha():
+                out.append("word=" + token.lower())
+            if "." in token or "/" in token or "-" in token:
+                out.append(f"parts{min(6, len(re.split('[./-]', token)))}" + ("word" if words > 4 else "noword"))
+        self[token] = out
+        return out
+
+
+_shapes = _Shapes()
+
+
+def chain_features(text: str, tokens: list[tuple[int, int]], file: list[str]) -> list[list[str]]:
+    """Features of each token of a region: its shape, its neighbours, the run of tokens without blanks it is in, the name it is under, and the file's."""
+    words = [text[s:e] for s, e in tokens]
+    low = [w.lower()[:12] for w in words]
+    n, out = len(tokens), []
+    # runs without blanks
+    first = [0] * n
+    for k in range(1, n):
+        first[k] = first[k - 1] if tokens[k][0] == tokens[k - 1][1] else k
+    last = [0] * n
+    for k in range(n - 1, -1, -1):
+        last[k] = last[k + 1] if k + 1 < n and first[k + 1] == first[k] else k
+    named, under = -99, ""  # where the last name was, and which
+    chunk: list[str] = []
+    for k, w in enumerate(words):
+        if first[k] == k:
+            s, e = tokens[k][0], min(tokens[last[k]][1], tokens[k][0] + 160)
+            run = text[s:e]
+            kinds = sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run), any(not c.isalnum() for c in run)))
+            chunk = [f"run{_bucket(len(run), 6, 10, 16, 24, 40)}kinds{kinds}", f"runof{_bucket(last[k] - k, 1, 2, 4, 8)}"]
+        gap = text[tokens[k - 1][1] : tokens[k][0]] if k else " "
+        near = ["gap=" + ("none" if not gap else f"line{_bucket(len(w), 3, 9, 24)}" if gap in ("\n", "\r\n") else "lines" if "\n" in gap else "space"), *(f"before{d}={low[k - d]}" if k >= d else f"before{d}=" for d in (1, 2, 3)), f"after={low[k + 1]}" if k + 1 < n else "after="]
+        if k - named <= 8:
+            line = "\n" in text[tokens[named][1] : tokens[k][0]]
+            near += [f"under{_bucket(k - named, 2, 3, 4, 6)}" + "line" * line, f"under={under}{_bucket(k - named, 3, 5)}"]
+            if not line and words[named + 1 : k] and any(x in ":=" for x in words[named + 1 : k]):
+                near.append(f"value{_bucket(k - named, 3, 4, 5)}" + ("long" if len(w) >= 6 else "short"))
+        elif (at := "".join(words[max(0, first[k]) : k])) and "://" in at:
+            near.append("address" + ("user" if ":" in at.split("://", 1)[1] else ""))
+        if k and not gap:
+            near.append(f"glue={low[k - 1] if len(low[k - 1]) == 1 else 'word'}{'word' if w[0].isalnum() else w[0]}")
+        if "@" in words[k + 1 : last[k] + 1]:
+            near.append("beforeat")
+        out.append(["bias", *_shapes[w], *near, *chunk, *file])
+        if (m := KEYLIKE.search(w)) and len(w) <= 40:
+            named, under = k, m.group().lower()
+    return out
 
 
 class ChainField:
-    """Linear-chain conditional random field over labels outside, begin and inside; inside never follows outside.
+    """Linear-chain conditional random field over the labels outside, begin and inside of all tokens of a region; inside never follows outside,
+    nor white space other than one line feed.
 
-    A chain is a run of candidate tokens with nothing but marks between them; the tokens around it are outside by
-    constraint, so chains are independent and decoding each by Viterbi is exact for the whole text.
+    What lies around a region is outside by constraint, so regions are independent and decoding each by Viterbi is exact for the whole text.
     """
 
     def __init__(self, names: list[str]):
@@ -128,124 +200,170 @@ class ChainField:
         return np.array([self.weights[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in chain])
 
     def viterbi(self, emitted: np.ndarray) -> list[int]:
-        best, back = self.moves[0] + emitted[0], []
-        for e in emitted[1:]:
-            through = best[:, None] + self.moves
-            back.append(through.argmax(0))
-            best = through.max(0) + e
-        labels = [int((best + self.moves[:, 0]).argmax())]
-        for b in reversed(back):
-            labels.append(int(b[labels[-1]]))
+        moves, back = self.moves.tolist(), []
+        rows = emitted.tolist()
+        best = [m + e for m, e in zip(moves[0], rows[0])]
+        for row in rows[1:]:
+            came = [max(range(3), key=lambda a, b=b: best[a] + moves[a][b]) for b in range(3)]
+            back.append(came)
+            best = [best[came[b]] + moves[came[b]][b] + row[b] for b in range(3)]
+        labels = [max(range(3), key=lambda a: best[a] + moves[a][0])]
+        for came in reversed(back):
+            labels.append(came[labels[-1]])
         return labels[::-1]
 
-    def fit(self, chains: list[list[list[str]]], labels: list[list[int]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-3) -> ChainField:
-        """Adagrad on the likelihood, by forward and backward sums over all chains of a length at once."""
-        groups = {}
+    def fit(self, chains: list[list[list[str]]], labels: list[list[int]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-3, most: int = 48) -> ChainField:
+        """Adagrad on the likelihood, by forward and backward sums over all chains at once.
+
+        Chains are cut where both sides are outside, into parts of about `most` tokens, and filled up with tokens that are outside for sure, which
+        changes no likelihood.
+        """
+        parts = []
         for c, y in zip(chains, labels):
-            groups.setdefault(len(c), []).append(([[self.index[f] for f in fs if f in self.index] for fs in c], y))
-        packed = []
-        for n, rows in sorted(groups.items()):
-            at = np.array([(r, t, f) for r, (c, _) in enumerate(rows) for t, fs in enumerate(c) for f in fs], np.int64).reshape(-1, 3)
-            packed.append((n, len(rows), at, np.array([y for _, y in rows])))
-        total = sum(x[1] for x in packed)
+            at = 0
+            while at < len(c):
+                end = min(len(c), at + most)
+                while end < len(c) and end < at + 2 * most and (y[end - 1] or y[end]):
+                    end += 1
+                parts.append((c[at:end], y[at:end]))
+                at = end
+        if not parts:
+            return self
+        n, rows = max(len(y) for _, y in parts), len(parts)
+        truth, real = np.zeros((rows, n), np.int64), np.zeros((rows, n), bool)
+        for r, (_, y) in enumerate(parts):
+            truth[r, : len(y)], real[r, : len(y)] = y, True
+        held = [[self.index[f] for f in fs if f in self.index] for c, _ in parts for fs in c]
+        flat, sizes = np.array([f for x in held for f in x], np.int64), np.array([len(x) for x in held])
+        token, where = np.repeat(np.arange(len(held)), sizes), np.flatnonzero(real.ravel())
+        one_hot, total = np.eye(3)[truth], rows
         gw, gm = np.full_like(self.weights, 1e-8), np.full_like(self.moves, 1e-8)
+        blanks = [self.index[x] for x in ("gap=space", "gap=lines") if x in self.index]
+        self.weights[blanks, 2] = -1e3
         for _ in range(epochs):
-            dw, dm = l2 * self.weights, np.zeros_like(self.moves)
-            for n, rows, at, y in packed:
-                e = np.zeros((rows, n, 3))
-                np.add.at(e, (at[:, 0], at[:, 1]), self.weights[at[:, 2]])
-                forward, backward = np.zeros_like(e), np.zeros_like(e)
-                forward[:, 0] = self.moves[0] + e[:, 0]
-                for t in range(1, n):
-                    forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + self.moves, axis=1) + e[:, t]
-                backward[:, -1] = self.moves[:, 0]
-                for t in range(n - 2, -1, -1):
-                    backward[:, t] = np.logaddexp.reduce(self.moves + (backward[:, t + 1] + e[:, t + 1])[:, None, :], axis=2)
-                z = np.logaddexp.reduce(forward[:, -1] + self.moves[:, 0], axis=1)
-                node = np.exp(forward + backward - z[:, None, None])
-                off = node - np.eye(3)[y]
-                np.add.at(dw, at[:, 2], off[at[:, 0], at[:, 1]] / total)
-                dm[0] += off[:, 0].sum(0) / total
-                dm[:, 0] += off[:, -1].sum(0) / total
-                for t in range(1, n):
-                    edge = np.exp(forward[:, t - 1, :, None] + self.moves + (backward[:, t] + e[:, t])[:, None, :] - z[:, None, None])
-                    np.subtract.at(edge, (np.arange(rows), y[:, t - 1], y[:, t]), 1.0)
-                    dm += edge.sum(0) / total
+            e = np.full((rows * n, 3), -1e9)
+            e[:, 0] = 0.0
+            e[where] = np.stack([np.bincount(token, self.weights[flat, k], minlength=len(held)) for k in range(3)], 1)
+            e = e.reshape(rows, n, 3)
+            forward, backward = np.zeros_like(e), np.zeros_like(e)
+            forward[:, 0] = self.moves[0] + e[:, 0]
+            for t in range(1, n):
+                forward[:, t] = np.logaddexp.reduce(forward[:, t - 1, :, None] + self.moves, axis=1) + e[:, t]
+            backward[:, -1] = self.moves[:, 0]
+            for t in range(n - 2, -1, -1):
+                backward[:, t] = np.logaddexp.reduce(self.moves + (backward[:, t + 1] + e[:, t + 1])[:, None, :], axis=2)
+            z = np.logaddexp.reduce(forward[:, -1] + self.moves[:, 0], axis=1)
+            off = np.exp(forward + backward - z[:, None, None]) - one_hot
+            of_token = off.reshape(-1, 3)[where]
+            dw = l2 * self.weights + np.stack([np.bincount(flat, of_token[token, k], minlength=len(self.weights)) for k in range(3)], 1) / total
+            dm = np.zeros_like(self.moves)
+            dm[0] += off[:, 0].sum(0) / total
+            dm[:, 0] += off[:, -1].sum(0) / total
+            for t in range(1, n):
+                edge = np.exp(forward[:, t - 1, :, None] + self.moves + (backward[:, t] + e[:, t])[:, None, :] - z[:, None, None])
+                dm += (edge.sum(0) - np.bincount(truth[:, t - 1] * 3 + truth[:, t], minlength=9).reshape(3, 3)) / total
             gw += dw * dw
             gm += dm * dm
             self.weights -= rate * dw / np.sqrt(gw)
             self.moves -= rate * dm / np.sqrt(gm)
             self.moves[0, 2] = -1e9
+            self.weights[blanks, 2] = -1e3
         return self
 
 
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of candidates between which there are only marks, at most three, and no white space but a line feed."""
-    runs: list[list[tuple[int, int]]] = []
-    for start, end in candidates(text):
-        gap = text[runs[-1][-1][1] : start] if runs else "  "
-        if len(gap) <= 3 and all(c == "\n" or not c.isspace() and not c.isalnum() for c in gap):
-            runs[-1].append((start, end))
-        else:
-            runs.append([(start, end)])
-    return runs
-
-
 def crf_spans(text: str, field: ChainField, base: list[Span]) -> list[Span]:
     """Spans that the field tags, without those that touch a base span."""
-    runs = chains_of(text)
-    if not runs:
+    parts = regions(text)
+    if not parts:
         return []
-    file, taken, found = file_features(text), [(s, e) for s, _, e in base], []
-    for run in runs:
-        labels = field.viterbi(field.emissions([token_features(text, s, e, file) for s, e in run]))
+    file, found = file_features(text), []
+    for start, end in parts:
+        tokens = tokens_of(text, start, end)
+        if not tokens:
+            continue
         spans: list[list[int]] = []
-        for (s, e), y in zip(run, labels):
-            if y == 1 or y == 2 and not spans:
+        for (s, e), y in zip(tokens, field.viterbi(field.emissions(chain_features(text, tokens, file)))):
+            if y == 1:
                 spans.append([s, e])
             elif y == 2:
                 spans[-1][1] = e
-        found += [(s, 3, e) for s, e in spans if not any(s < b and a < e for a, b in taken)]
-    return found
+        found += spans
+    # both in order: one pass, with the furthest end of the base spans that begin before
+    out, at, reach = [], 0, -1
+    for s, e in found:
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= s:
+            out.append((s, 3, e))
+    return out
 
 
 def _made_up(n: int, rng: random.Random) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Short texts with secrets under names and of forms that the fixed patterns don't know, and with what only looks like them."""
-    letters, words = string.ascii_letters + string.digits, ["the", "config", "for", "server", "uses", "value", "und", "para", "les", "user", "see", "run", "with"]
+    """Short texts with secrets under names and of forms that the fixed patterns don't know, and with what only looks like them.
+
+    Secrets may be several tokens: passwords with marks, addresses with credentials, blocks of lines.
+    """
+    letters, lower = string.ascii_letters + string.digits, string.ascii_lowercase
+    words = ["the", "config", "for", "server", "uses", "value", "und", "para", "les", "user", "see", "run", "with", "login", "of", "die", "que", "note", "is", "set", "to", "our", "last", "week", "report"]
     pick = lambda chars, a, b: "".join(rng.choices(chars, k=rng.randint(a, b)))
-    secret = [
+    word = lambda: pick(lower, 3, 9)
+    long = [
         lambda: pick(letters, 20, 48), lambda: pick(letters + "+/", 24, 64) + rng.choice(["", "=", "=="]), lambda: pick("0123456789ABCDEF", 32, 64),
         lambda: rng.choice(["ghp_", "sk-", "xoxb-", "glpat-", "pk_live_"]) + pick(letters, 20, 40), lambda: pick(letters + "-_", 10, 16) + "." + pick(letters + "-_", 20, 50) + "." + pick(letters + "-_", 20, 40),
     ]
-    named = ["auth", "credential", "private_key", "client_secret", "bearer", "pwd", "access_key", "signature", "session", "signing_key"]
+    short = [
+        lambda: pick(lower, 6, 12), lambda: pick(lower, 4, 8) + pick(string.digits, 1, 4), lambda: pick(letters + "!@#$%^&*?", 8, 16), lambda: word().title() + rng.choice("!@#$%&*") + pick(letters, 2, 6) + rng.choice("!?#$"),
+        lambda: rng.choice("-_.").join(word() for _ in range(rng.randint(3, 5))), lambda: pick(letters, 6, 14), lambda: word() + rng.choice("@#$!") + pick(string.digits, 2, 4),
+    ]
+    named = ["auth", "credential", "credentials", "private_key", "client_secret", "bearer", "pwd", "access_key", "signature", "session_key", "signing_key", "user_pass", "mail_pwd", "pass", "auth_key"]
     plain = [
         lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}", lambda: pick(string.digits, 8, 19), lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
-        lambda: "http://www." + pick(string.ascii_lowercase, 4, 12) + ".example/" + pick(string.ascii_lowercase, 3, 9) + "/" + str(rng.randint(1, 999)), lambda: "-".join(pick(string.ascii_lowercase, 3, 9) for _ in range(rng.randint(2, 4))),
-        lambda: "".join(pick(string.ascii_lowercase, 3, 8).title() for _ in range(rng.randint(2, 4))), lambda: "_".join(pick(string.ascii_lowercase, 3, 8) for _ in range(rng.randint(2, 4))),
-        lambda: "/".join(pick(string.ascii_lowercase, 2, 9) for _ in range(rng.randint(3, 6))), lambda: "-".join(pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "v" + ".".join(str(rng.randint(0, 300)) for _ in range(4)),
-        lambda: pick(string.ascii_lowercase, 4, 9) + "." + pick(string.ascii_lowercase, 4, 9) + str(rng.randint(1, 999)), lambda: "+" + pick(string.digits, 9, 12), lambda: pick(string.ascii_lowercase, 6, 9) + "=" + str(rng.randint(1000, 9999)),
+        lambda: "http://www." + pick(lower, 4, 12) + ".example/" + word() + "/" + str(rng.randint(1, 999)), lambda: "-".join(word() for _ in range(rng.randint(2, 4))),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 4))), lambda: "_".join(word() for _ in range(rng.randint(2, 4))), lambda: word() + "." + word() + "@" + word() + ".example.com",
+        lambda: "/".join(word() for _ in range(rng.randint(3, 6))), lambda: "-".join(pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "v" + ".".join(str(rng.randint(0, 300)) for _ in range(4)),
+        lambda: word() + "." + word() + str(rng.randint(1, 999)), lambda: "+" + pick(string.digits, 9, 12), lambda: word() + "=" + str(rng.randint(1000, 9999)), lambda: word() + " " + word() + "! " + word() + "? (" + word() + ")",
+        lambda: rng.choice(["key: ", "Key point: ", "author: ", "session: ", "passage: ", "authors = ", "password policy: ", "key = "]) + rng.choice(["see", "the", "none", "required", "it is", "Monday", "two"]) + " " + word(), lambda: "https://" + word() + ":" + str(rng.randint(80, 9999)) + "/" + word() + "@" + word(),
+        lambda: "#" + word() + "_" + word() + " & " + word() + "-" + word() + "; " + word().title() + "'s", lambda: "$" + str(rng.randint(1, 999)) + "." + pick(string.digits, 2, 2) + " (" + str(rng.randint(1, 99)) + "%)",
     ]
     out = []
     for _ in range(n):
         parts, spans, at = [], [], 0
 
-        def put(x: str) -> None:
+        def put(x: str, secret: bool = False) -> None:
             nonlocal at
+            if secret:
+                spans.append((at, at + len(x)))
             parts.append(x)
             at += len(x)
 
         for _ in range(rng.randint(1, 4)):
+            quote = ""
             put(" ".join(rng.choices(words, k=rng.randint(1, 5))) + rng.choice([" ", "\n", ": ", " ("]))
-            if rng.random() < 0.45:
+            form = rng.random()
+            if form < 0.2:
                 if rng.random() < 0.8:
-                    put(rng.choice(named) + rng.choice([" = ", "=", ": ", '": "', " "]))
-                value = rng.choice(secret)()
-                spans.append((at, at + len(value)))
+                    put(rng.choice(named) + (opened := rng.choice([" = ", "=", ": ", '": "', " ", " => ", " = '"])))
+                    quote = opened[-1].strip("= :>")
+                put(rng.choice(long)(), True)
+            elif form < 0.36:
+                put(rng.choice(named) + (opened := rng.choice([" = ", "=", ": ", '": "', " = '", " := ", '="'])))
+                quote = opened[-1].strip("= :>")
+                put(rng.choice(short)(), True)
+            elif form < 0.43:
+                put(rng.choice(["https", "ftp", "mysql", "redis", "amqp"]) + "://" + word() + ":")
+                put(rng.choice(short[1:4] + short[5:])().replace("@", "").replace("/", ""), True)
+                put("@" + word() + "." + word() + rng.choice(["", ":" + str(rng.randint(1000, 9999)), "/" + word()]))
+            elif form < 0.5:
+                put(rng.choice(["Private key:", "-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "private_key ="]) + "\n")
+                wide = rng.choice([32, 48, 64, 76])
+                put("\n".join(pick(letters + "+/", wide, wide) for _ in range(rng.randint(1, 4))) + "\n" + pick(letters + "+/", 9, wide - 1) + rng.choice(["", "=", "=="]), True)
+                put(rng.choice(["\n-----END PRIVATE KEY-----", "\n", "\n-----END EC PRIVATE KEY-----"]))
             else:
                 if rng.random() < 0.3:
                     put(rng.choice(["id", "date", "host", "path", "name", "version", "url"]) + rng.choice([" = ", "=", ": "]))
-                value = rng.choice(plain)()
-            put(value + rng.choice([" ", "\n", ", ", '" ', ". "]))
+                put(rng.choice(plain)())
+            put(quote + rng.choice([" ", "\n", ", ", "; ", ". ", "\n\n"]))
         out.append(("".join(parts), spans))
     return out
 
@@ -257,22 +375,25 @@ def _training(texts: list[str], made_up: int, seed: int) -> tuple[list, list]:
         secret = []
         for s, k, e in base_spans(text):
             secret.append((ASSIGN.match(text, s).start(2) if k == 0 else s, e))
-        known.append((text, secret))
+        known.append((text, sorted(secret)))
     chains, labels = [], []
     for text, secret in known + _made_up(made_up, random.Random(seed)):
-        file = file_features(text)
-        for run in chains_of(text):
-            y, last = [], None
-            for s, e in run:
-                hit = next((k for k, (a, b) in enumerate(secret) if s < b and a < e), None)
+        file, at = file_features(text), 0
+        for start, end in regions(text):
+            tokens, y, last = tokens_of(text, start, end), [], None
+            for s, e in tokens:
+                while at < len(secret) and secret[at][1] <= s:
+                    at += 1
+                hit = at if at < len(secret) and secret[at][0] < e and s < secret[at][1] else None
                 y.append(0 if hit is None else 2 if hit == last else 1)
                 last = hit
-            chains.append([token_features(text, s, e, file) for s, e in run])
-            labels.append(y)
+            if tokens:
+                chains.append(chain_features(text, tokens, file))
+                labels.append(y)
     return chains, labels
 
 
-def learn(docs: DataFrame, sample: int = 400, made_up: int = 1500, most_chars: int = 20_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> ChainField:
+def learn(docs: DataFrame, sample: int = 400, made_up: int = 2000, most_chars: int = 20_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> ChainField:
     """A field learned from at most `sample` documents that a fixed pattern hits and as many others, taken by hash.
 
     The fixed patterns label them; made-up texts add names and forms of secrets beyond those. Documents longer than
@@ -283,7 +404,8 @@ def learn(docs: DataFrame, sample: int = 400, made_up: int = 1500, most_chars: i
     marked = written(mine.select("doc_id", hit.alias("hit")), "pattern_hits")
     chosen = [bounded_sample(marked.filter(F.col("hit") == h), sample).select("doc_id") for h in (True, False)]
     ids = F.broadcast(written(chosen[0].unionByName(chosen[1]).distinct(), "chosen"))
-    texts = sorted({r.text for r in mine.join(ids, "doc_id").select("text").distinct().limit(4 * sample).collect()})
+    # ids that repeat bring further texts: of those too the same ones are taken however the table is partitioned
+    texts = sorted({r.text for r in mine.join(ids, "doc_id").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(4 * sample).collect()})
     chains, labels = _training(texts, made_up, seed)
     seen = Counter(f for c in chains for fs in c for f in set(fs))
     return ChainField(sorted(f for f, n in seen.items() if n >= 3)).fit(chains, labels)
@@ -342,7 +464,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced, n_chars as it is then."""
+    """All documents, their secrets replaced, n_chars as it is then. Null texts stay null and empty ones empty; rows that repeat are treated alike."""
     clean = redact(docs, learn(docs))
     if "n_chars" not in docs.columns:
         return clean

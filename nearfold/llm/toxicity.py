@@ -102,13 +102,13 @@ class _Features(dict):
         return np.array(sorted(found), np.int64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 4096, least_gain: float = 4.5, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, int], Machine]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: int = 4096, least_gain: float = 4.5, factors: int = 8, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, int], Machine]:
     """(positions of the terms that the model has, the machine), from at most `sample` labelled rows of each kind, taken by hash.
 
     labels has doc_id and toxic. The terms are the at most `features` whose counts among the two kinds differ most, in
     different texts, by log likelihood ratio, and by least_gain at least: fewer labels give fewer terms, and none that chance
     explains. Added to them, without limit, are both terms of each pair that tells more than either does alone, by least_gain
-    above what the best of so many pairs has by chance. What goes to the driver are the sample's rows, in terms that may be either.
+    above what the best of so many pairs has by chance. Without `factors` the machine is linear. What goes to the driver are the sample's rows, in terms that may be either.
     """
     known = written(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic_labels")
     parts = [bounded_sample(known.filter(F.col("toxic") == y), sample).select(F.col("doc_id").alias("id"), "toxic") for y in (0, 1)]
@@ -156,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, features: in
     kept[paired_terms(docs.sparkSession, sets, labels_of, len(held), least)] = True
     new = np.cumsum(kept, dtype=np.int32) - 1
     sets = [new[x[kept[x]]] for x in sets]
-    return {t: int(new[k]) for k, t in enumerate(held) if kept[k]}, Machine(int(kept.sum())).fit(sets, labels_of)
+    return {t: int(new[k]) for k, t in enumerate(held) if kept[k]}, Machine(int(kept.sum()), factors).fit(sets, labels_of)
 
 
 def paired_terms(spark: SparkSession, sets: list[np.ndarray], labels: np.ndarray, n: int, least: float) -> list[int]:

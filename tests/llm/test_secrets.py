@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
-from nearfold.llm.secrets import ChainField, _made_up, base_spans, candidates, chains_of, crf_spans, file_features, find_secrets, joined, learn, redact, secrets_stage, token_features
+from nearfold.llm.secrets import ChainField, _made_up, base_spans, candidates, crf_spans, find_secrets, joined, learn, op4_secret_scan, redact, regions, secrets_stage, tokens_of
 
 
 def plain(text):
@@ -54,7 +55,8 @@ def test_field_finds_what_patterns_miss(spark):
         hit += sum(any(a < e and s < b for a, b in got) for s, e in secret)
         missed += sum(not any(a < e and s < b for a, b in got) for s, e in secret)
         wrong += sum(not any(a < e and s < b for s, e in secret) for a, b in got)
-    assert hit / (hit + missed) > 0.85 and hit / (hit + wrong) > 0.85
+    assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.9
+    elsewhere(field)
     again = learn(docs.repartition(5))
     assert np.array_equal(field.weights, again.weights) and field.index == again.index
     rows = [(1, None, 0), (2, "", 0), (3, "plain words only", 0), (4, "word " * 100_000 + "password = hunter2hunter2", 0), (4, "password = hunter2hunter2", 0), (None, "client_secret = Zx81kQpL0a9Vb7Nn3RtY6uWq", 0)]
@@ -73,8 +75,64 @@ def test_stage_keeps_rows_and_columns(spark):
     assert got[1].text == "[SECRET] rest" and got[1].n_chars == 13 and got[2].text is None and len(got) == 3
 
 
-def test_candidates_and_chains():
+def elsewhere(field):
+    """Secrets of other forms, names and surroundings than those the field learned from."""
+    rng = random.Random(7)
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    small, big, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = [
+        lambda: ("db_pass: ", "-".join(pick(small, rng.randint(4, 7)) for _ in range(4)), "\n"),
+        lambda: ("dsn is postgres://" + pick(small, 5) + ":", pick(small + big + digits, 10), "@db.internal/main"),
+        lambda: ("Authorization: Basic ", pick(small + big + digits, 24) + "==", "\n"),
+        lambda: ("export AWS_SECRET_ACCESS_KEY ", pick(small + big + digits + "/+", 40), " done"),
+        lambda: ("-----BEGIN RSA PRIVATE KEY-----\n", "\n".join(pick(small + big + digits + "+/", 64) for _ in range(6)) + "\n" + pick(small + big + digits, 22) + "==", "\n-----END RSA PRIVATE KEY-----"),
+        lambda: ("wifi pwd = '", pick(big, 1) + pick(small, 5) + "#" + pick(digits, 3) + "!" + pick(small, 2), "' upstairs"),
+    ]
+    prose = "It was a well-known, state-of-the-art method; see https://a.example.org/x-1 (2021-10-11). Author: J. Smith, key point: none. "
+    found = exact = wrong = 0
+    for k in range(300):
+        before, secret, after = forms[k % len(forms)]()
+        text = prose[: rng.randint(0, len(prose))] + "\n" + before + secret + after + " " + prose
+        at = text.index(before + secret) + len(before)
+        got = [(s, e) for s, _, e in crf_spans(text, field, [])]
+        found += any(s < at + len(secret) and at < e for s, e in got)
+        exact += (at, at + len(secret)) in got
+        wrong += sum(not (s < at + len(secret) and at < e) for s, e in got)
+    assert found >= 260 and exact >= 200 and wrong <= 15, (found, exact, wrong)
+    block = "-----BEGIN PRIVATE KEY-----\n" + (body := "\n".join(pick(small + big + digits + "+/", 64) for _ in range(5))) + "\n-----END PRIVATE KEY-----"
+    assert [block[s:e] for s, _, e in crf_spans(block, field, [])] == [body]  # one span of many tokens
+    assert crf_spans(prose * 50, field, []) == []
+
+
+def test_query_against_brute_force(spark):
+    """Counts, digest and joined spans of every document; the further spans touch no base span and come in order."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op4_secret_scan(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain(texts[r.doc_id])
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(map(kinds.count, ("assign", "access", "hex")))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = [x for x in r.spans.split(",") if x]
+        assert ",".join(x for x in spans if not x.startswith("crf")) == base
+        assert [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
+
+
+def test_base_spans_win(spark):
+    field = ChainField(["bias"])
+    field.weights[:] = [[0, 1, 0]]  # every token begins a secret
+    text = "x token = abcdefgh1 y pwd: zzz " + "password=aaaaaa1 " * 3000
+    spans = crf_spans(text, field, base := base_spans(text))
+    assert len(base) == 3001 and spans and not any(a < e and s < b for s, _, e in spans[:40] for a, _, b in base[:60])
+
+
+def test_candidates_and_regions():
     text = "an ordinary sentence. See v1.2.3.4.5, abcDEFgh-1 and x=1\nline1234567\nline7654321"
     assert [text[s:e] for s, e in candidates(text)] == ["v1.2.3.4.5", "abcDEFgh-1", "line1234567", "line7654321"]
-    assert [len(c) for c in chains_of(text)] == [1, 1, 2]
-    assert "bias" in token_features(text, 26, 36, file_features(text))
+    assert regions(text) == [(0, len(text))] and regions("plain words only, " * 100) == []
+    assert [text[s:e] for s, e in tokens_of(text, 22, 47)] == ["See", "v1.2.3.4.5", ",", "abcDEFgh-1"]
+    far = "a b c " * 50 + "pwd = 'x!y' and so on " + "a b c " * 50 + "ftp://me:you@there"
+    (a, b), (c, d) = regions(far)
+    assert "pwd = 'x!y'" in far[a:b] and far[c:d].endswith("ftp://me:you@there")
