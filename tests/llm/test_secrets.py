@@ -132,7 +132,7 @@ def test_candidates_and_regions():
     text = "an ordinary sentence. See v1.2.3.4.5, abcDEFgh-1 and x=1\nline1234567\nline7654321"
     assert [text[s:e] for s, e in candidates(text)] == ["v1.2.3.4.5", "abcDEFgh-1", "line1234567", "line7654321"]
     assert regions(text) == [(0, len(text))] and regions("plain words only, " * 100) == []
-    assert [text[s:e] for s, e in tokens_of(text, 22, 47)] == ["See", "v1.2.3.4.5", ",", "abcDEFgh-1"]
+    assert [text[s:e] for s, e in tokens_of(text, 22, 48)] == ["See", "v1.2.3.4.5", ",", "abcDEFgh-1"]
     far = "a b c " * 50 + "pwd = 'x!y' and so on " + "a b c " * 50 + "ftp://me:you@there"
     (a, b), (c, d) = regions(far)
     assert "pwd = 'x!y'" in far[a:b] and far[c:d].endswith("ftp://me:you@there")
