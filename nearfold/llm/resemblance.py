@@ -106,8 +106,8 @@ class Runs:
         return a[different], b[different], self.key[self.starts[long]]
 
 
-def _by_runs(rows: DataFrame, of_runs, schema: str) -> DataFrame:
-    """of_runs of all rows (key, word, ...) of whole keys, some 100,000 at a time; a key with more comes whole, so callers bound them."""
+def _by_runs(rows: DataFrame, of_runs, schema: str, apart: bool = False, most: int = 100_000) -> DataFrame:
+    """of_runs of all rows (key, word, ...), whole keys and some `most` rows at a time. A key with more comes whole, so callers bound it, or in parts if `apart`."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +115,9 @@ def _by_runs(rows: DataFrame, of_runs, schema: str) -> DataFrame:
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in names]
             held = new if held is None else [np.concatenate([x, y]) for x, y in zip(held, new)]
-            if len(held[0]) < 100_000:
+            if len(held[0]) < most:
                 continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on
+            cut = int(np.searchsorted(held[0], held[0][-1])) or (len(held[0]) if apart else 0)  # the last key may go on
             if cut:
                 yield from of_runs(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
@@ -171,20 +171,29 @@ def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, blo
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         yield pa.record_batch([pa.array(np.concatenate([pairs[0], keys])), pa.array([*pairs[1].tolist(), *[None] * len(keys)], pa.int64())], ["a", "b"])
 
-    # lists are cut to blocks here: what this leaves out is found below
-    index = _index(classes)
-    counted = written(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block), "long_lists")
+    # long lists are spread over tasks by block, as far as a sample of nodes tells them; what this leaves out is found below
+    index, thin = _index(classes), max(1, block // 256)
+    seen = _index(classes.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(thin)) == 0)).groupBy("key").agg((F.count("*") * thin).alias("n"))
+    counted = written(seen.filter(F.col("n") > block), "long_lists")
     longest = counted.count()
     cut = index
     if longest:
         hot = F.broadcast(counted) if longest <= 100_000 else counted.hint("merge")
         part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / block))
         cut = index.join(hot, "key", "left").withColumn("key", F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("key") + F.shiftleft(part.cast("bigint"), 32))).drop("n")
-    found = written(_by_runs(cut, first, "a bigint, b bigint"), "candidates")
+    found = written(_by_runs(cut, first, "a bigint, b bigint", apart=True), "candidates")
     pairs = written(found.filter("b is not null").distinct(), "pairs")
     opened = found.filter("b is null").select(F.col("a").bitwiseAND(F.lit((1 << 32) - 1)).alias("key")).distinct()
     opened = written(opened, "open_lists")
     n_open = opened.count()
+    lists = F.broadcast(opened) if n_open <= 100_000 else opened.hint("merge")
+    # only sets that may be compared go on
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    if n_open:
+        ends = ends.unionByName(index.join(lists, "key", "left_semi").select("node"))
+    ends = written(ends.distinct(), "ends")
+    few = ends.count() <= 500_000
+    sets = written(sets.join(F.broadcast(ends) if few else ends.hint("merge"), "node", "left_semi"), "sets")
 
     links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity), "links")
     comp = written(connected_components(links, "a", "b"), "components")
@@ -194,7 +203,6 @@ def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, blo
         comp = written(connected_components(links, "a", "b"), "components")
     if not n_open:
         return comp
-    lists = F.broadcast(opened) if n_open <= 100_000 else opened.hint("merge")
     told = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     inner = written(_index(told, "component").join(lists, "key"), "open_rows")
     mixed = written(inner.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "mixed_lists")
