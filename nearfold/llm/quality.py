@@ -136,8 +136,13 @@ def best_cut(good: np.ndarray, bad: np.ndarray, loss: float) -> float:
     return -np.inf if at == 0 else np.inf if at == len(ends) else float((ends[at - 1] + ends[at]) / 2)
 
 
+def gumbel(key: Column, seed: int) -> Column:
+    """Standard Gumbel noise that depends on key and seed only."""
+    return -F.log(-F.log((F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
+
+
 def resample(
-    docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = 20_000, scale: float = 64.0, loss: float = 8.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None
+    docs: DataFrame, labels: DataFrame, share: float | None = None, sample: int = 20_000, scale: float = 8.0, loss: float = 8.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None
 ) -> DataFrame:
     """One row per row of docs: id, n_grams, log_weight, score, draw, kept.
 
@@ -145,7 +150,7 @@ def resample(
     (quality = 1), taken by hash. A text's log weight is the log of their ratio; score is its mean per n-gram, and draw is
     scale * score plus Gumbel noise of (doc_id, seed): the documents with the k largest draws are a sample without
     replacement in proportion to exp(scale * score). The mean, as if every text had `scale` n-grams, keeps long texts
-    from winning by their length alone.
+    from winning by their length alone; `scale` is the inverse temperature: the smaller, the more chance decides.
 
     k is `share` of all documents that have words, or where share is None the number of them that score above the cut which
     tells good from bad best on the labelled samples (losing a good one counts `loss` times). Rows whose draw equals the k-th
@@ -156,15 +161,15 @@ def resample(
     marks = written(marks, "quality_labels")
     good, bad = (written(bounded_sample(marks.filter(F.col("quality") == q), sample).select("doc_id"), "chosen") for q in (1, 0))
     ratios = log_ratios(count_grams(docs, good, id_col, text_col).collect())  # one row per bucket
-    noise = -F.log(-F.log((F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)))
     weighed = log_weights(docs, ratios, id_col, text_col, key).withColumn("score", F.when(F.col("n_grams") > 0, F.col("log_weight") / F.col("n_grams")))
-    drawn = written(weighed.withColumn("draw", scale * F.col("score") + noise), "draws")
+    drawn = written(weighed.withColumn("draw", scale * F.col("score") + gumbel(F.col("id"), seed)), "draws")
     real = drawn.filter("score is not null")
     n = real.count()
     if share is not None:
         k = int(n * share)
     else:
-        known = [np.array([r.score for r in real.join(F.broadcast(x), real.id == x.doc_id).select("score").limit(2 * sample).collect()]) for x in (good, bad)]
+        # ids that repeat may bring more rows than the sample has: the same ones whatever the partitions
+        known = [np.array([r.score for r in real.join(F.broadcast(x), real.id == x.doc_id).select("id", "score").orderBy(F.xxhash64("id"), "score").limit(2 * sample).collect()]) for x in (good, bad)]
         k = real.filter(F.col("score") >= best_cut(*known, loss)).count()
     least = kth_largest(real, "draw", k) if 0 < k <= n else np.inf
     return drawn.withColumn("kept", F.coalesce(F.col("draw") >= F.lit(float(least)), F.lit(False))).withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import bounded_sample
-from nearfold.llm.quality import BUCKETS, PAIRS, SHAPES, WORDS, best_cut, kth_largest, quality_stage, resample, shape
+from nearfold.llm.quality import BUCKETS, PAIRS, SHAPES, WORDS, best_cut, gumbel, kth_largest, quality_stage, resample, shape
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,23 @@ def test_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = quality_stage(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() == resample(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("kept").count()
+
+
+def test_noise_draws_in_proportion(spark):
+    """The largest of scale * score + noise falls on each of three scores as often as exp(scale * score) says."""
+    scores = [0.0, 0.1, 0.25]
+    rows = spark.range(60_000).select(F.floor(F.col("id") / 3).alias("group"), (F.col("id") % 3).alias("which"), (8 * F.array(*map(F.lit, scores))[(F.col("id") % 3).cast("int")] + gumbel(F.col("id"), 11)).alias("draw"))
+    won = {r.which: r["count"] / 20_000 for r in rows.groupBy("group").agg(F.max_by("which", "draw").alias("which")).groupBy("which").count().collect()}
+    weights = np.exp(8 * np.array(scores))
+    assert np.abs(np.array([won[k] for k in range(3)]) - weights / weights.sum()).max() < 0.015
+
+
+def test_held_out_labels_and_noise(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    got = resample(docs, labels.filter(~held)).join(labels, "doc_id", "left").withColumn("held", held).toPandas()
+    own = got[got.held & got.quality.notna()].groupby("quality").kept.mean()
+    assert own[1] >= 0.995 and own[0] <= 0.02
+    k = int(got.kept.sum())
+    assert 1 <= len(set(got.nlargest(k, "score").index) - set(got[got.kept].index)) <= k // 100  # the noise decides near the cut
