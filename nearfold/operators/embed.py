@@ -91,14 +91,16 @@ def _descend(coords, velocity, a, b, w, neg, samples, rng, m, gamma, alpha, rate
 
 def project(
     weights: DataFrame, dim: int = 2, sgd_batches: float | None = None, m: int = 5, gamma: float = 7.0, alpha: float = 1.0, rho: float = 1.0, coords: DataFrame | None = None,
-    use_degree: bool = False, momentum: float | None = None, seed: int = 0, edge_sampling: str = "weighted", epochs: int = 40, shards: int | None = None, most_local: int = 500_000,
+    use_degree: bool = False, momentum: float | None = None, seed: int = 0, edge_sampling: str = "weighted", epochs: int | None = None, shards: int | None = None, most_local: int = 500_000,
 ) -> DataFrame:
     """(id, coords) of a symmetric weight graph (src, dst, weight). Fewer than 8,192 samples leave the coordinates as they are.
 
     Up to most_local vertices (checked) every epoch sends the coordinates to `shards` partitions of edges, each of which
     descends by itself; their moves are averaged over the shards that touched a vertex. Beyond that nothing is sent: an epoch
-    thins the edges by weight, joins both ends' and the negative samples' coordinates, and adds up gradients per vertex.
-    Both depend on seed, not on the cluster's size. momentum, between 0 and 0.95, holds for the first way.
+    thins the edges by weight, joins both ends' and the negative samples' coordinates, and adds up gradients per vertex. There an
+    epoch's moves of a vertex are one step, clipped as a whole, so `epochs`, 40 where it is None, are then as many as leave a vertex
+    about four edge samples an epoch, 40 at least and 400 at most. momentum lies between 0 and 0.95.
+    Both depend on seed, not on the cluster's size.
     """
     if momentum is not None and not 0 <= momentum <= 0.95:
         raise ValueError("momentum must lie between 0 and 0.95")
@@ -113,9 +115,11 @@ def project(
     if not samples or not nnz:
         return now
     neg = negative_weights(weights, use_degree)
+    if epochs is None:
+        epochs = 40 if n <= most_local else max(40, min(400, samples // (2 * n)))
     epochs = max(1, min(epochs, samples // BATCH))
     if n > most_local:
-        return _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha, rho, seed, edge_sampling)
+        return _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha, rho, seed, edge_sampling, momentum or 0.0)
     placed = numbered(now, [F.col("id")], "at").select("id", (F.col("at") - 1).alias("at"), "coords").join(neg, "id", "left").orderBy("at").collect()
     x = np.array([r.coords for r in placed], float)
     prob = np.array([r.weight or 0.0 for r in placed])
@@ -154,7 +158,7 @@ def project(
     return now.sparkSession.createDataFrame([(int(i), [float(c) for c in row]) for i, row in zip(order, x)], "id bigint, coords array<double>")
 
 
-def _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha, rho, seed, edge_sampling) -> DataFrame:
+def _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha, rho, seed, edge_sampling, momentum) -> DataFrame:
     """Synchronous descent by joins alone, for graphs whose coordinates aren't sent anywhere."""
     dim = len(now.first().coords)
     total = weights.agg(F.sum("weight")).first()[0]
@@ -166,6 +170,7 @@ def _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha,
     diff = lambda: F.zip_with("ca", "cb", lambda p, q: p - q)
     clip = lambda f: F.transform("d", lambda x: F.greatest(F.lit(-cap), F.least(F.lit(cap), f * x)))
     d2 = F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x)
+    now = now.withColumn("speed", F.transform("coords", lambda x: x * 0.0))
     for epoch in range(epochs):
         rate = max(1e-4, rho * (1 - epoch / epochs))
         drawn = F.floor(chance + random_of(F.concat_ws(",", "src", "dst"), seed + 7 * epoch)).cast("int")
@@ -180,8 +185,10 @@ def _project_joined(weights, now, neg, n, nnz, samples, epochs, m, gamma, alpha,
         ends = g.select(F.col("src").alias("id"), "g").unionByName(g.select(F.col("dst").alias("id"), F.transform("g", lambda x: -x).alias("g")))
         moves = ends.groupBy("id").agg(F.array(*(F.sum(F.col("g")[k]) for k in range(dim))).alias("move"))
         step = F.transform("move", lambda x: F.greatest(F.lit(-cap), F.least(F.lit(cap), x * rate)))
-        now = written(now.join(moves, "id", "left").select("id", F.when(F.col("move").isNull(), F.col("coords")).otherwise(F.zip_with("coords", step, lambda p, q: p + q)).alias("coords")), "coords")
-    return now
+        speed = F.when(F.col("move").isNull(), F.transform("speed", lambda x: x * momentum)).otherwise(F.zip_with("speed", step, lambda p, q: p * momentum + q))
+        moved = now.join(moves, "id", "left").select("id", "coords", speed.alias("speed"))
+        now = written(moved.select("id", F.zip_with("coords", "speed", lambda p, q: p + q).alias("coords"), "speed"), "coords")
+    return now.select("id", "coords")
 
 
 @dataclass

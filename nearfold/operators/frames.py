@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,9 +51,10 @@ def mosaic_frame(coords: DataFrame, images: DataFrame, n: int | None = None, sca
     return chosen.join(images, "id").select("id", (x - h).alias("xmin"), (x + h).alias("xmax"), (y - w).alias("ymin"), (y + w).alias("ymax"), grey.alias("pixels"))
 
 
-def grid_frame(coords: DataFrame, size_x: int = 500, size_y: int = 500, image_size: int = 50) -> DataFrame:
+def grid_frame(coords: DataFrame, size_x: int = 500, size_y: int = 500, image_size: int = 50, image: Callable[[int], list] | None = None) -> DataFrame:
     """(cell_x, cell_y, id): a mosaic without gaps. Cell by cell, row by row, the nearest point that isn't used yet.
 
+    With image, a function from an id to the numbers of its picture, they come along as pixels, of the chosen points only.
     The choice is sequential: one task holds the points, as two numbers each. ValueError beyond 10 million points.
     """
     _two(coords)
@@ -72,10 +75,11 @@ def grid_frame(coords: DataFrame, size_x: int = 500, size_y: int = 500, image_si
                 k = int(d.argmin())
                 x[k] = float("inf")
                 rows.append((i, j, int(f.id.iloc[k])))
-        return pd.DataFrame(rows, columns=["cell_x", "cell_y", "id"])
+        made = pd.DataFrame(rows, columns=["cell_x", "cell_y", "id"])
+        return made if image is None else made.assign(pixels=[[float(x) for x in image(int(i))] for i in made.id])
 
     flat = coords.select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
-    return flat.groupBy(F.lit("all").alias("picture")).applyInPandas(run, "cell_x int, cell_y int, id bigint")
+    return flat.groupBy(F.lit("all").alias("picture")).applyInPandas(run, "cell_x int, cell_y int, id bigint" + ", pixels array<double>" * (image is not None))
 
 
 def facet_frame(coords: DataFrame, parameters: DataFrame) -> DataFrame:

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators.components import connected_components
-from nearfold.operators.dbscan import check_neighbors
+from nearfold.operators.dbscan import check_neighbors, graph_of
 from nearfold.operators.edges import undirected
+from nearfold.operators.joins import attach
 from nearfold.operators.ordering import numbered
 from nearfold.scratch import written
 
@@ -40,13 +40,13 @@ def point_lambda(mutual: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg((1 / F.min("weight")).alias("lambda"))
 
 
-def _kruskal(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Positions of the forest's edges in the order (w, u, v)."""
-    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)].tolist(), flat[len(u) :].tolist()
+def _kruskal(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Positions of the forest's edges between a and b, in the order (w, u, v)."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = flat[: len(a)].tolist(), flat[len(a) :].tolist()
     root, kept = list(range(len(ids))), []
     for k in np.lexsort((v, u, w)).tolist():
-        x, y = a[k], b[k]
+        x, y = one[k], other[k]
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
@@ -59,23 +59,47 @@ def _kruskal(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def spanning_forest(mutual: DataFrame, component: DataFrame | None = None) -> DataFrame:
+def contracted(mutual: DataFrame, most_local: int) -> tuple[list[DataFrame], DataFrame]:
+    """(edges of the forest, what is left): rounds of joining every tree to the nearest other, until at most `most_local` edges are left.
+
+    What is left is (a, b, u, v, weight): of the edges (u, v) between two trees a and b the least. A round at least halves the trees that
+    have edges, and costs a few aggregations and joins; no task holds more than its share of the edges.
+    """
+    now = written(mutual.select(F.col("u").alias("a"), F.col("v").alias("b"), "u", "v", "weight"), "edges")
+    chosen: list[DataFrame] = []
+    while now.count() > most_local:
+        edge = F.struct("weight", "u", "v", "a", "b").alias("e")
+        ends = now.select(F.col("a").alias("tree"), edge).unionByName(now.select(F.col("b").alias("tree"), edge))
+        best = written(ends.groupBy("tree").agg(F.min("e").alias("e")).select("e.*").distinct(), "nearest")
+        if best.isEmpty():
+            break
+        chosen.append(best.select("u", "v", "weight"))
+        tree = written(connected_components(best, "a", "b"), "trees")
+        of = lambda c: tree.select(F.col("node").alias(c), F.col("component").alias(f"{c}2"))  # noqa: B023, E731
+        moved = now.join(of("a"), "a").join(of("b"), "b").filter("a2 <> b2")
+        least = moved.groupBy(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).agg(F.min(F.struct("weight", "u", "v")).alias("e"))
+        now = written(least.select("a", "b", "e.u", "e.v", "e.weight"), "edges")
+    return chosen, now
+
+
+def spanning_forest(mutual: DataFrame, component: DataFrame | None = None, most_local: int = 2_000_000) -> DataFrame:
     """(component, u, v, weight): the minimum spanning forest, unique by the order (weight, u, v).
 
-    An edge that a partition's own forest leaves out is in no forest of the whole: partitions first reduce themselves, in two
-    rounds, and what remains, fewer than n edges a component, is reduced per component.
+    Rounds of contraction leave at most `most_local` edges in all, which are then reduced per component, each in one task. Either way
+    gives the same forest.
     """
     comp = component if component is not None else connected_components(mutual, "u", "v")
-    mine = mutual.join(comp.select(F.col("node").alias("u"), "component"), "u")
+    of = comp.select(F.col("node").alias("u"), "component")
+    chosen, rest = contracted(mutual, most_local)
+    columns, schema = ["component", "u", "v", "weight"], "component bigint, u bigint, v bigint, weight double"
 
-    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(frames) or [pd.DataFrame({"component": [], "u": [], "v": [], "weight": []})])
-        yield held.iloc[_kruskal(held.u.to_numpy(), held.v.to_numpy(), held.weight.to_numpy())] if len(held) else held
+    def last(f: pd.DataFrame) -> pd.DataFrame:
+        return f.iloc[_kruskal(*(f[c].to_numpy() for c in ("a", "b", "u", "v", "weight")))][columns]
 
-    columns = ["component", "u", "v", "weight"]
-    schema = "component bigint, u bigint, v bigint, weight double"
-    once = mine.select(*columns).mapInPandas(thin, schema)
-    return once.groupBy("component").applyInPandas(lambda f: f.iloc[_kruskal(f.u.to_numpy(), f.v.to_numpy(), f.weight.to_numpy())][columns], schema)
+    forest = rest.join(of, "u").groupBy("component").applyInPandas(last, schema)
+    for x in chosen:
+        forest = forest.unionByName(x.join(of, "u").select(*columns))
+    return forest
 
 
 class _Node:
@@ -216,13 +240,14 @@ class Hdbscan:
     clusters: DataFrame
 
 
-def hdbscan(edges: DataFrame, ids: DataFrame, min_pts: int = 20, k: int = 5, stability: str = "inclusive") -> Hdbscan:
+def hdbscan(edges, ids: DataFrame | None = None, min_pts: int = 20, k: int = 5, stability: str = "inclusive") -> Hdbscan:
     """Hierarchical density clusters. Flat clusters are numbered by their smallest point, condensed ones by component and pre-order.
 
-    A point without any edge is an outlier without hierarchy. Where the graph is one component its root is never selected.
+    edges may be a Layout. A point without any edge is an outlier without hierarchy. Where the graph is one component its root is never selected.
     """
     if stability not in ("inclusive", "paper"):
         raise ValueError(f"stability {stability!r}")
+    edges, ids = graph_of(edges, ids)
     check_neighbors(edges, k)
     core = written(core_distances(edges, k), "core")
     mutual = written(mutual_reachability(edges, core), "mutual")
@@ -241,9 +266,15 @@ def hdbscan(edges: DataFrame, ids: DataFrame, min_pts: int = 20, k: int = 5, sta
     flat = points.filter("chosen is not null").groupBy("component", "chosen").agg(F.min("id").alias("first"))
     flat = numbered(flat, [F.col("first")], "flat").select("component", "chosen", F.col("flat").cast("int").alias("cluster"))
     joined = points.join(flat, ["component", "chosen"], "left")
-    of_cluster, of_node = Window.partitionBy("cluster"), Window.partitionBy("number")
-    low, high, top = F.min("lambda").over(of_cluster), F.max("lambda").over(of_cluster), F.max("lambda").over(of_node)
-    scored = joined.select(
+    joined = written(joined, "points")
+    # outliers have no cluster, and nothing is asked of all of them
+    ranges = joined.filter("cluster is not null").groupBy("cluster").agg(F.min("lambda").alias("low"), F.max("lambda").alias("high"), F.count("*").alias("n"))
+    tops = joined.groupBy("number").agg(F.max("lambda").alias("top"), F.count("*").alias("n"))
+    inside = attach(joined.filter("cluster is not null"), written(ranges, "ranges"), ["cluster"], "n").drop("n")
+    both = inside.unionByName(joined.filter("cluster is null"), allowMissingColumns=True)
+    ranged = attach(both, written(tops, "tops"), ["number"], "n")
+    low, high, top = F.col("low"), F.col("high"), F.col("top")
+    scored = ranged.select(
         "id", "cluster", F.when(F.col("cluster").isNull(), F.col("lambda")).otherwise(F.try_divide(F.col("lambda") - low, high - low)).alias("probability"),
         F.try_divide(top - F.col("lambda"), top).alias("glosh"), "mst_parent", F.col("number").alias("membership"), "lambda",
     )

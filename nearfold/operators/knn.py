@@ -39,38 +39,62 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
-    d = block_distances(x, other, metric)
-    d[ids[:, None] == other_ids[None, :]] = np.inf
+def _nearest(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, metric: str, step: int = 512) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each row among the others, by (distance, id), some rows at a time."""
     by_id = np.argsort(other_ids, kind="stable")  # ties go to the smaller id
-    d, other_ids = d[:, by_id], other_ids[by_id]
-    order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(d, order, 1)
-    ok = np.isfinite(near)
-    return pa.record_batch([pa.array(np.repeat(ids, order.shape[1])[ok.ravel()]), pa.array(other_ids[order][ok]), pa.array(near[ok])], ["src", "dst", "dist"])
-
-
-def exact_knn(vectors: DataFrame, k: int, metric: str = "euclidean", block: int = 1024) -> DataFrame:
+    other, other_ids = other[by_id], other_ids[by_id]
+    for at in range(0, len(ids), step):
+        mine = ids[at : at + step]
+        d = block_distances(x[at : at + step], other, metric)
+        d[mine[:, None] == other_ids[None, :]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, order, 1)
+        ok = np.isfinite(near)
+        yield pa.record_batch([pa.array(np.repeat(mine, order.shape[1])[ok.ravel()]), pa.array(other_ids[order][ok]), pa.array(near[ok])], ["src", "dst", "dist"])
+
+
+def checked(vectors: DataFrame) -> tuple[int, int]:
+    """(number of vectors, their size). ValueError for null or repeated ids, null vectors, vectors of several sizes, and elements that are null or not finite."""
+    odd = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    seen = vectors.agg(
+        F.count("*").alias("n"), F.count("id").alias("with_id"), F.count_distinct("id").alias("ids"), F.count("features").alias("with_vector"), F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high"),
+        F.count_if(odd).alias("odd"),
+    ).first()
+    wrong = {"without an id": seen.n - seen.with_id, "with an id that another has": seen.with_id - seen.ids, "without a vector": seen.n - seen.with_vector, "with elements that are null or not finite": seen.odd}
+    for what, n in wrong.items():
+        if n:
+            raise ValueError(f"{n} rows {what}")
+    if seen.n and seen.low != seen.high:
+        raise ValueError(f"vectors of {seen.low} to {seen.high} elements")
+    return seen.n, seen.high or 0
+
+
+def exact_knn(vectors: DataFrame, k: int, metric: str = "euclidean", block: int = 4096) -> DataFrame:
     """The k nearest of every vector by (distance, id), itself excluded, as (src, dst, rank, dist).
 
-    Vectors are packed into blocks of about `block`; every pair of blocks meets in one task by an equi-join on block numbers, and
-    only each row's k best of it are shuffled. No side is broadcast and no task holds more than two blocks.
+    Vectors are packed into blocks of at most about `block`, smaller ones where there are few; every pair of blocks meets in one task by
+    an equi-join on the second block and a slice of the first ones. So each vector is shuffled once for every block, and of each
+    pair only each row's k best go on. No side is broadcast and no task holds more than two blocks.
+    ValueError for what `checked` names; an empty table gives an empty one.
     """
     metric = check_metric(metric)
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / block))
+    n, _ = checked(vectors)
+    at_once = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / block), min(math.ceil(at_once**0.5), n // 256))
+    slices = min(blocks, max(1, 4 * at_once // blocks))
     packed = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "features")).alias("v"))
     packed = written(packed.select("block", "v.id", "v.features"), "blocks")
-    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).drop("block")
-    right = packed.select(F.col("block").alias("other"), F.col("id").alias("id2"), F.col("features").alias("features2"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = packed.withColumn("other", every(blocks)).withColumn("slice", F.pmod("block", F.lit(slices))).drop("block")
+    right = packed.withColumn("slice", every(slices)).select(F.col("block").alias("other"), "slice", F.col("id").alias("id2"), F.col("features").alias("features2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 part = {c: batch.column(c)[r].values for c in ("id", "features", "id2", "features2")}
-                yield _nearest(part["id"].to_numpy(), _matrix(part["features"]), part["id2"].to_numpy(), _matrix(part["features2"]), k, metric)
+                yield from _nearest(part["id"].to_numpy(), _matrix(part["features"]), part["id2"].to_numpy(), _matrix(part["features2"]), k, metric)
 
-    pairs = left.join(right, "other").repartition(min(blocks * blocks, 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) + blocks), "other", "id")
+    pairs = left.hint("shuffle_hash").join(right, ["other", "slice"])
     return tagged(top_k(pairs.mapInArrow(run, EDGES), k), metric)
 
 
@@ -136,7 +160,7 @@ class Forest:
 
 
 def assign_leaves(vectors: DataFrame, forest: Forest, metric: str = "euclidean") -> DataFrame:
-    """(id, features, tree, leaf) for every vector and tree."""
+    """(id, tree, leaf) for every vector and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,26 +170,45 @@ def assign_leaves(vectors: DataFrame, forest: Forest, metric: str = "euclidean")
             if metric == "cosine":
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             for t, tree in enumerate(forest.trees):
-                leaf = forest.leaves(x, tree)
-                yield pa.record_batch([batch.column("id"), batch.column("features"), pa.array(np.full(len(x), t, np.int32)), pa.array(leaf)], ["id", "features", "tree", "leaf"])
+                yield pa.record_batch([batch.column("id"), pa.array(np.full(len(x), t, np.int32)), pa.array(forest.leaves(x, tree))], ["id", "tree", "leaf"])
+
+    return vectors.select("id", "features").mapInArrow(run, "id bigint, tree int, leaf bigint")
 
-    return vectors.select("id", "features").mapInArrow(run, "id bigint, features array<double>, tree int, leaf bigint")
 
+def forest_knn(leaves: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", most: int = 4096, trees_at_once: int = 8) -> DataFrame:
+    """The k nearest among those that share a leaf of some tree. leaves is (id, tree, leaf), a written table.
 
-def forest_knn(assigned: DataFrame, k: int, metric: str = "euclidean", most: int = 4096) -> DataFrame:
-    """The k nearest among those that share a leaf of some tree. Leaves of more than `most` vectors are cut by hash, so no task holds more."""
+    Vectors are joined to the leaves of trees_at_once trees at a time, whose neighbours are then reduced to each vector's k best: what
+    is shuffled at once is as many copies of the vectors, and nothing but edges is kept. A leaf of more than `most` vectors is cut by
+    hash, and every two parts of it meet in a task of their own: no task holds more than two parts, and no pair is lost.
+    """
     metric = check_metric(metric)
-    sizes = assigned.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-    cut = assigned.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / most)))
-    packed = cut.groupBy("tree", "leaf", "part").agg(F.collect_list(F.struct("id", "features")).alias("v")).select("v.id", "v.features")
+    large = written(leaves.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1"), "large_leaves")
+    large = F.broadcast(large) if large.count() <= 100_000 else large.hint("merge")
+    own = F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int")
+    spread = (
+        leaves.join(large, ["tree", "leaf"], "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("own", own)
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "tree", "leaf", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, x = batch.column("id")[r].values.to_numpy(), _matrix(batch.column("features")[r].values)
-                yield _nearest(ids, x, ids, x, k, metric)
+                yield from _nearest(ids, x, ids, x, k, metric)
 
-    return top_k(packed.mapInArrow(run, EDGES).groupBy("src", "dst").agg(F.min("dist").alias("dist")), k)
+    trees, found = leaves.agg(F.max("tree")).first()[0], None
+    for first in range(0, (0 if trees is None else trees) + 1, trees_at_once):
+        mine = spread.filter(F.col("tree").between(first, first + trees_at_once - 1)).join(vectors.select("id", "features"), "id")
+        packed = mine.groupBy("tree", "leaf", "low", "high").agg(F.collect_list(F.struct("id", "features")).alias("v")).select("v.id", "v.features")
+        near = packed.mapInArrow(run, EDGES)
+        if found is not None:
+            near = near.unionByName(found.select("src", "dst", "dist"))
+        found = written(top_k(near.groupBy("src", "dst").agg(F.min("dist").alias("dist")), k), "forest_edges")
+    return found
 
 
 def explore(edges: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -184,20 +227,23 @@ def explore(edges: DataFrame, vectors: DataFrame, k: int, metric: str = "euclide
 def search(
     vectors: DataFrame, k: int = 150, n_trees: int = 50, max_iter: int = 1, metric: str = "euclidean", leaf: int | None = None, seed: int = 1, save: str | None = None
 ) -> DataFrame:
-    """Approximate nearest neighbours: forest, its candidates, max_iter rounds of exploration. save: a folder for the index."""
+    """Approximate nearest neighbours: forest, its candidates, max_iter rounds of exploration. save: a folder for the index.
+
+    ValueError for what `checked` names, and for vectors that share no leaf with any other.
+    """
     from nearfold.sources.index_store import save_index
 
     metric = check_metric(metric)
-    size = vectors.select(F.size("features")).first()
-    forest = Forest.grow(vectors, n_trees, leaf or max(k, size[0] if size else 1), seed=seed, metric=metric)
-    assigned = written(assign_leaves(vectors, forest, metric), "leaves")
+    _, size = checked(vectors)
+    forest = Forest.grow(vectors, n_trees, leaf or max(k, size, 1), seed=seed, metric=metric)
+    leaves = written(assign_leaves(vectors, forest, metric), "leaves")
     if save:
-        save_index(vectors, assigned, metric, save)
-    return refine(assigned, vectors, k, max_iter, metric)
+        save_index(vectors, leaves, metric, save)
+    return refine(leaves, vectors, k, max_iter, metric)
 
 
-def refine(assigned: DataFrame, vectors: DataFrame, k: int, max_iter: int, metric: str) -> DataFrame:
-    edges = written(forest_knn(assigned, k, metric), "edges")
+def refine(leaves: DataFrame, vectors: DataFrame, k: int, max_iter: int, metric: str) -> DataFrame:
+    edges = forest_knn(leaves, vectors, k, metric)
     for _ in range(max_iter):
         edges = written(explore(edges, vectors, k, metric), "edges")
     check_complete(edges, vectors, k)
@@ -206,14 +252,19 @@ def refine(assigned: DataFrame, vectors: DataFrame, k: int, max_iter: int, metri
 
 def check_complete(edges: DataFrame, vectors: DataFrame, k: int) -> None:
     """ValueError if a vector has no neighbours, a warning if some have fewer than k."""
-    counts = vectors.select(F.col("id").alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("n")), "src", "left")
-    none, few = counts.agg(F.sum(F.col("n").isNull().cast("int")), F.sum((F.col("n") < k).cast("int"))).first()
+    none, few = completeness(edges, vectors, k).first()
     if none:
         raise ValueError(f"{none} vectors have no neighbours")
     if few:
         warnings.warn(f"{few} vectors have fewer than {k} neighbours", stacklevel=2)
 
 
+def completeness(edges: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(without, fewer): how many vectors have no neighbours, and how many have some but fewer than k."""
+    counts = vectors.select(F.col("id").alias("src")).join(edges.groupBy("src").agg(F.count("*").alias("n")), "src", "left")
+    return counts.agg(F.count_if(F.col("n").isNull()).alias("without"), F.count_if(F.col("n") < k).alias("fewer"))
+
+
 def search_grid(vectors: DataFrame, k: int, trees: list[int], rounds: list[int], metric: str = "euclidean", leaf: int | None = None) -> list[tuple[int, int, float, float]]:
     """(n_trees, max_iter, seconds, recall) of every combination, against exact neighbours."""
     exact = written(exact_knn(vectors, k, metric), "exact")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfold.operators.components import connected_components
-from nearfold.operators.dbscan import check_neighbors
+from nearfold.operators.dbscan import check_neighbors, graph_of
 from nearfold.operators.edges import undirected
 from nearfold.operators.ordering import numbered
 from nearfold.scratch import written
@@ -54,12 +54,13 @@ def _walk(frame: pd.DataFrame, start_order: str) -> pd.DataFrame:
     return table.astype({"predecessor": "Int64"})
 
 
-def optics(edges: DataFrame, ids: DataFrame, eps: float = INF, min_pts: int | None = None, use_queue: bool = True, start_order: str | None = None) -> DataFrame:
+def optics(edges, ids: DataFrame | None = None, eps: float = INF, min_pts: int | None = None, use_queue: bool = True, start_order: str | None = None) -> DataFrame:
     """(id, order_pos, reachdist, coredist, predecessor). start_order: row, core_desc (the default with use_queue) or core_asc.
 
     Components of the graph below eps are ordered each in a task of its own, which holds one component's edges, and then
-    joined in the order of their starting points.
+    joined in the order of their starting points. edges may be a Layout. settings_of gives what the ordering was made with.
     """
+    edges, ids = graph_of(edges, ids)
     k = check_neighbors(edges, min_pts or 2)
     min_pts = min_pts or k
     if min_pts < 2:
@@ -75,7 +76,13 @@ def optics(edges: DataFrame, ids: DataFrame, eps: float = INF, min_pts: int | No
     schema = "id bigint, start bigint, start_core double, pos bigint, reachdist double, coredist double, predecessor bigint"
     walked = rows.groupBy("component").applyInPandas(lambda f: _walk(f, order), schema)
     keys = {"row": ["start", "pos"], "core_desc": [F.desc("start_core"), F.desc("start"), "pos"], "core_asc": ["start_core", "start", "pos"]}[order]
-    return numbered(walked, [F.col(x) if isinstance(x, str) else x for x in keys], "order_pos").select("id", "order_pos", "reachdist", "coredist", "predecessor")
+    return numbered(walked, [F.col(x) if isinstance(x, str) else x for x in keys], "order_pos").select("id", "order_pos", "reachdist", "coredist", "predecessor").withMetadata("order_pos", {"min_pts": min_pts, "eps": str(eps)})
+
+
+def settings_of(ordering: DataFrame) -> dict:
+    """min_pts and eps of an ordering, and eps_cl of clusters cut from one, as far as it tells."""
+    found = {k: v for f in ordering.schema for k, v in f.metadata.items()}
+    return {k: float(v) if k != "min_pts" else int(v) for k, v in found.items() if k in ("min_pts", "eps", "eps_cl")}
 
 
 def cut(ordering: DataFrame, eps: float, min_pts: int) -> DataFrame:
@@ -92,7 +99,7 @@ def cut(ordering: DataFrame, eps: float, min_pts: int) -> DataFrame:
     runs = ranged.withColumn("in_range", F.sum("first").over(within)).join(carried.select("range", "before"), "range").withColumn("run", F.col("in_range") + F.col("before"))
     sizes = runs.groupBy("run").agg(F.count("*").alias("size")).filter(F.col("size") >= min_pts)
     numbers = numbered(sizes.select("run"), [F.col("run")], "cluster")
-    return runs.join(numbers, "run", "left").select("id", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster"))
+    return runs.join(numbers, "run", "left").select("id", F.coalesce("cluster", F.lit(0)).cast("int").alias("cluster")).withMetadata("cluster", {"eps_cl": str(eps)})
 
 
 def reachability_plot(ordering: DataFrame, label: str) -> DataFrame:

@@ -14,10 +14,10 @@ from nearfold.operators import frames, knn, weights
 from nearfold.operators.components import connected_components
 from nearfold.operators.dbscan import core_points, dbscan
 from nearfold.operators.dendrogram import dendrogram, root_clusters
-from nearfold.operators.embed import layout, project, sgd_batches
+from nearfold.operators.embed import layout, project, resolve_batches, sgd_batches
 from nearfold.operators.hdbscan import core_distances, hdbscan, mutual_reachability, point_lambda, spanning_forest
 from nearfold.operators.lof import local_outlier_factor
-from nearfold.operators.optics import INF, cut, optics, reachability_plot, xi_clusters
+from nearfold.operators.optics import INF, cut, optics, reachability_plot, settings_of, xi_clusters
 from nearfold.operators.optics import core_distances as optics_core
 from nearfold.scratch import new_path, written
 from nearfold.sources import vectors as S
@@ -192,6 +192,14 @@ def sparse_knn(spark, sf):
     return _edges(knn.exact_knn(S.from_triplets(cells, 64), K))
 
 
+@query("WITH v AS (SELECT vec_id AS id, [CASE WHEN abs(x) > 0.1 THEN CAST(x AS DOUBLE) ELSE 0 END for x in embedding] AS f FROM embeddings), " + sql_knn("list_distance(a.f, b.f)", "v", K) + f" {SHOWN}")
+def sparse_row_knn(spark, sf):
+    """Sparse vectors as arrays of indices and values, the columns of a compressed matrix."""
+    cells = F.filter(F.transform("features", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: F.abs(c["x"]) > 0.1)
+    rows = emb(spark, sf).withColumn("c", cells).select("id", F.col("c.i").alias("indices"), F.col("c.x").alias("values"))
+    return _edges(knn.exact_knn(S.from_sparse(rows, 64), K))
+
+
 @query("SELECT src, dst, count(*) AS weight FROM (SELECT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION ALL SELECT -l_suppkey, l_partkey FROM lineitem) GROUP BY 1, 2")
 def external_graph(spark, sf):
     pairs = _t(spark, sf, "lineitem").select(F.col("l_partkey").cast("bigint").alias("src"), (-F.col("l_suppkey")).cast("bigint").alias("dst"))
@@ -212,6 +220,19 @@ def incomplete_vertices(spark, sf):
     return planted(spark, sf).select("id").join(near, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") < K)
 
 
+@query(
+    f"WITH {sql_pknn()}, c AS (SELECT id, count(src) AS n FROM pl LEFT JOIN (SELECT * FROM knn WHERE dist < 0.05) k ON k.src = pl.id GROUP BY id) "
+    f"SELECT count(*) FILTER (n = 0) AS without, count(*) FILTER (n > 0 AND n < {K}) AS fewer FROM c"
+)
+def completeness(spark, sf):
+    return knn.completeness(pknn(spark, sf).filter("dist < 0.05"), planted(spark, sf), K)
+
+
+@query("SELECT 'cosine' AS metric")
+def metric_tag(spark, sf):
+    return spark.createDataFrame([(knn.metric_of(written(knn.exact_knn(emb(spark, sf), 2, "Cosine"), "knn")),)], "metric string")
+
+
 @query(f"WITH {sql_pknn()} SELECT src AS id, round(max(dist), 6) AS kdist FROM knn GROUP BY src")
 def k_distance(spark, sf):
     return pknn(spark, sf).groupBy(F.col("src").alias("id")).agg(r6(F.max("dist"), "kdist"))
@@ -302,6 +323,56 @@ def sgd_batch_counts(spark, sf):
     return n.select("n", F.round(sgd_batches(F.col("n")), 2).alias("batches"))
 
 
+_ASKED = (None, 0.0, 0.25, 1.0, 12345.6)
+_SIZES = ((150, 1200), (9_999, 500_000), (10_000, 500_000), (500_000, 40_000_000), (2_000_000, 300_000_000))
+
+
+@query(
+    f"WITH a(asked) AS (VALUES {', '.join(f'({x})' if x is not None else '(CAST(NULL AS DOUBLE))' for x in _ASKED)}), s(n, nnz) AS (VALUES {', '.join(map(str, _SIZES))}), "
+    "f AS (SELECT CAST(n AS BIGINT) AS n, CAST(asked AS DOUBLE) AS asked, CASE WHEN n < 1e4 THEN 2000.0 * nnz / 2 WHEN n < 1e6 THEN 1e6 * (9000 * (n - 1e4) / (1e6 - 1e4) + 1000) ELSE 1e4 * n END AS full FROM s, a) "
+    'SELECT n, asked, CAST(floor(CASE WHEN asked >= 1 THEN asked ELSE "full" * coalesce(asked, 1) END) AS BIGINT) AS batches FROM f'.replace("AS full", 'AS "full"'),
+)
+def batches_asked_for(spark, sf):
+    """None takes the formula, a fraction that part of it, and a number from 1 on itself."""
+    rows = [(n, asked, resolve_batches(n, nnz, asked)) for n, nnz in _SIZES for asked in _ASKED]
+    return spark.createDataFrame(rows, "n bigint, asked double, batches bigint")
+
+
+def _refusals(spark, sf) -> dict:
+    e, p = pknn(spark, sf), planted(spark, sf).select("id", "features")
+    flat = p.select("id", F.col("features").alias("coords"))
+    images = p.select("id", F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(9).alias("layers"), F.col("features").alias("pixels"))
+    odd = lambda sql: p.selectExpr("id", f"CASE WHEN id = 3 THEN {sql} ELSE features END AS features")
+    return {
+        "dbscan with too few neighbours": lambda: dbscan(e, p, EPS, K + 1), "hdbscan with too few neighbours": lambda: hdbscan(e, p, 20, K + 1), "optics with min_pts 1": lambda: optics(e, p, EPS, 1),
+        "optics with an unknown order": lambda: optics(e, p, EPS, MIN_PTS, start_order="random"), "an unknown metric": lambda: knn.exact_knn(p, K, "chebyshev"), "an unknown stability": lambda: hdbscan(e, p, 20, 5, "other"),
+        "a negative number of batches": lambda: resolve_batches(10, 10, -1), "momentum above 0.95": lambda: project(e.withColumnRenamed("dist", "weight"), momentum=0.96), "text as vectors": lambda: S.dense(p.withColumn("features", F.array(F.lit("a")))),
+        "no numeric columns": lambda: S.numeric_columns(p.select("id"), "id"), "images of nine layers": lambda: frames.mosaic_frame(flat, images), "images for other points": lambda: frames.mosaic_frame(flat, images.limit(3)),
+        "three-dimensional coordinates": lambda: frames.grid_frame(flat.withColumn("coords", F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))), "a null vector": lambda: knn.exact_knn(odd("CAST(NULL AS ARRAY<DOUBLE>)"), K),
+        "a null element": lambda: knn.exact_knn(odd("array(1D, CAST(NULL AS DOUBLE))"), K), "an element that is not a number": lambda: knn.search(odd("array(1D, CAST('NaN' AS DOUBLE))"), K), "vectors of two sizes": lambda: knn.exact_knn(odd("array(1D)"), K),
+        "an id that repeats": lambda: knn.exact_knn(p.unionByName(p.limit(1)), K), "a null id": lambda: knn.exact_knn(p.selectExpr("nullif(id, 3) AS id", "features"), K),
+    }
+
+
+_REFUSED = (
+    "dbscan with too few neighbours", "hdbscan with too few neighbours", "optics with min_pts 1", "optics with an unknown order", "an unknown metric", "an unknown stability", "a negative number of batches", "momentum above 0.95",
+    "text as vectors", "no numeric columns", "images of nine layers", "images for other points", "three-dimensional coordinates", "a null vector", "a null element", "an element that is not a number", "vectors of two sizes", "an id that repeats", "a null id",
+)
+
+
+@query("SELECT what, true AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in _REFUSED) + ") t(what)")
+def refused_arguments(spark, sf):
+    """Arguments and vectors that the operators must refuse with a ValueError or TypeError, before anything is computed from them."""
+    rows = []
+    for what, call in _refusals(spark, sf).items():
+        try:
+            call()
+            rows.append((what, False))
+        except (ValueError, TypeError):
+            rows.append((what, True))
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
 _WEIGHTS = "w AS (SELECT src, dst, sum(dist) AS weight FROM (SELECT src, dst, dist FROM knn UNION ALL SELECT dst, src, dist FROM knn) GROUP BY 1, 2)"
 
 
@@ -391,14 +462,44 @@ def hdbscan_probabilities(spark, sf):
     return _hdb(spark, sf).points.select("id", r6("probability", "probability"), r6("lambda", "lambda"))
 
 
-@query()
+# Kruskal's algorithm as a recursion over the edges in order; the state is the label of every point. Merges tell their size.
+_MST = (
+    f"{_MUTUAL}, pos AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM pl), "
+    "ord AS (SELECT row_number() OVER (ORDER BY w, u, v) AS k, u, v, w, a.p AS pu, b.p AS pv FROM mr JOIN pos a ON a.id = u JOIN pos b ON b.id = v), "
+    "kr AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(p ORDER BY p) FROM pos) AS lab, CAST(NULL AS BIGINT) AS u, CAST(NULL AS BIGINT) AS v, CAST(NULL AS DOUBLE) AS w, false AS hit, CAST(0 AS BIGINT) AS size UNION ALL "
+    "SELECT o.k, CASE WHEN lab[pu] = lab[pv] THEN lab ELSE list_transform(list_zip(lab, list_resize([lab[pu]], len(lab), lab[pu])), lambda x: CASE WHEN x[1] = x[2] THEN lab[pv] ELSE x[1] END) END, "
+    "o.u, o.v, o.w, lab[pu] <> lab[pv], len(list_filter(lab, lambda x: x = lab[pu] OR x = lab[pv])) FROM kr JOIN ord o ON o.k = kr.k + 1), "
+    "mst AS (SELECT u, v, w, size FROM kr WHERE hit)"
+)
+_REACHED = "reach AS (SELECT id, id AS seen FROM pl UNION SELECT reach.id, und.dst FROM reach JOIN und ON und.src = reach.seen), comp AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"
+# the planted blobs don't split, so every component is one cluster
+_HDB = (
+    f"WITH RECURSIVE {_MST}, {_REACHED}, lam AS (SELECT id, 1 / min(w) AS lam FROM (SELECT u AS id, w FROM mr UNION ALL SELECT v, w FROM mr) GROUP BY id), "
+    "adj AS (SELECT u AS src, v AS dst FROM mst UNION ALL SELECT v, u FROM mst), "
+    "par AS (SELECT DISTINCT component AS id, CAST(NULL AS BIGINT) AS parent FROM comp UNION ALL SELECT adj.dst, par.id FROM par JOIN adj ON adj.src = par.id WHERE par.parent IS NULL OR adj.dst <> par.parent), "
+    "pts AS (SELECT id, component, dense_rank() OVER (ORDER BY component) AS cluster, lam, (max(lam) OVER (PARTITION BY component) - lam) / max(lam) OVER (PARTITION BY component) AS glosh, parent FROM comp JOIN lam USING (id) JOIN par USING (id))"
+)
+
+
+@query(f"WITH RECURSIVE {_MST} SELECT u, v, round(w, 6) AS weight FROM mst")
+def mst_weights(spark, sf):
+    """By rounds of contraction, down to 500 edges that one task gets."""
+    e = pknn(spark, sf)
+    return spanning_forest(mutual_reachability(e, core_distances(e, 5)), most_local=500).select("u", "v", r6("weight", "weight"))
+
+
+@query(f"{_HDB} SELECT id, round(glosh, 6) AS glosh, cluster AS membership, parent AS mst_parent FROM pts")
 def hdbscan_glosh(spark, sf):
-    return _hdb(spark, sf).points.select("id", r6("glosh", "glosh"), "membership", "mst_parent")
+    return _hdb(spark, sf).points.select("id", r6("glosh", "glosh"), F.col("membership").cast("bigint").alias("membership"), "mst_parent")
 
 
-@query()
+@query(
+    f"{_HDB}, death AS (SELECT component, max(1 / w) AS lambda_death FROM mst JOIN comp ON comp.id = u WHERE size >= 20 GROUP BY component) "
+    "SELECT any_value(cluster) AS cluster, CAST(NULL AS BIGINT) AS parent, round(sum(lam), 6) AS stability, true AS selected, CAST(0 AS DOUBLE) AS lambda_birth, round(any_value(lambda_death), 6) AS lambda_death, count(*) AS size FROM pts JOIN death USING (component) GROUP BY component"
+)
 def hdbscan_hierarchy(spark, sf):
-    return _hdb(spark, sf).clusters
+    found = _hdb(spark, sf).clusters
+    return found.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("parent").cast("bigint").alias("parent"), r6("stability", "stability"), "selected", r6("lambda_birth", "lambda_birth"), r6("lambda_death", "lambda_death"), "size")
 
 
 @query()
@@ -406,9 +507,15 @@ def hdbscan_single_root(spark, sf):
     return hdbscan(pknn(spark, sf, 80), planted(spark, sf), 20, 5).clusters
 
 
-@query()
+@query(
+    f"{_HDB}, c AS (SELECT 'c' || cluster AS name, 1.1 / max(lam) AS height, count(*) AS n, format('{{:.4g}}', sum(lam)) || '*' AS label FROM pts GROUP BY cluster), "
+    "k AS (SELECT *, row_number() OVER (ORDER BY height, name) AS i FROM c) "
+    "SELECT name AS node_id, 'root' AS parent_id, round(height, 6) AS height, n AS members, false AS leaf, label, CAST(0 AS DOUBLE) AS midpoint, i - 1 AS position FROM k UNION ALL "
+    "SELECT 'root', NULL, round(1.2 * max(height), 6), sum(n)::BIGINT, false, '', (sum(n) - arg_max(n, i)) / 2, 0 FROM k UNION ALL "
+    "SELECT 'point' || id, 'c' || cluster, round(1 / lam, 6), 1, true, CAST(id AS VARCHAR), 0, 0 FROM pts"
+)
 def hdbscan_dendrogram(spark, sf):
-    return dendrogram(_hdb(spark, sf), include_nodes=True)
+    return dendrogram(_hdb(spark, sf), include_nodes=True).select("node_id", "parent_id", r6("height", "height"), "members", "leaf", "label", "midpoint", F.col("position").cast("bigint").alias("position"))
 
 
 @query(f"WITH RECURSIVE {_COMP} SELECT count(DISTINCT component) AS n FROM comp")
@@ -416,7 +523,22 @@ def dendrogram_roots(spark, sf):
     return root_clusters(_hdb(spark, sf).clusters).agg(F.count("*").alias("n"))
 
 
-@query()
+def _walk_sql(start: str) -> str:
+    """One point a step: of those reached the nearest, of equal ones the largest id; where none is reached, the first by `start`."""
+    first = f"OVER (PARTITION BY step ORDER BY done, reach IS NULL, reach, CASE WHEN reach IS NOT NULL THEN -id END, {start})"
+    new = "CASE WHEN NOT done AND id <> p AND pc IS NOT NULL AND d IS NOT NULL THEN greatest(pc, d) END"
+    return (
+        f"{sql_pknn()}, {UNDIRECTED}, region AS (SELECT src, dst, dist AS d FROM und WHERE dist < {EPS}), "
+        f"cd AS (SELECT id, CASE WHEN dist < {EPS} THEN dist END AS core FROM pl LEFT JOIN knn ON src = id AND rank = {MIN_PTS - 1}), "
+        "walk AS (SELECT CAST(0 AS BIGINT) AS step, id, core, CAST(NULL AS DOUBLE) AS reach, CAST(NULL AS BIGINT) AS pred, false AS done, CAST(NULL AS BIGINT) AS pos FROM cd UNION ALL "
+        f"SELECT step + 1, id, core, CASE WHEN coalesce({new} < coalesce(reach, 'inf'), false) THEN {new} ELSE reach END, CASE WHEN coalesce({new} < coalesce(reach, 'inf'), false) THEN p ELSE pred END, "
+        "done OR id = p, CASE WHEN id = p THEN step + 1 ELSE pos END FROM "
+        f"(SELECT w.*, r.d FROM (SELECT *, first_value(id) {first} AS p, first_value(core) {first} AS pc FROM walk WHERE step < (SELECT count(*) FROM cd)) w LEFT JOIN region r ON r.src = w.p AND r.dst = w.id)), "
+        "path AS (SELECT id, pos AS order_pos, round(reach, 6) AS reachdist, pred AS predecessor FROM walk WHERE step = (SELECT count(*) FROM cd))"
+    )
+
+
+@query(f"WITH RECURSIVE {_walk_sql('id')} SELECT * FROM path")
 def optics_order(spark, sf):
     got = optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS, use_queue=False)
     return got.select("id", "order_pos", r6(F.when(F.col("reachdist") < INF, F.col("reachdist")), "reachdist"), "predecessor")
@@ -431,9 +553,17 @@ def optics_cut_core(spark, sf):
     return clusters.join(clusters.groupBy("cluster").agg(F.min("id").alias("first")), "cluster").select("id", "first")
 
 
-@query()
+@query(f"WITH RECURSIVE {_walk_sql('core IS NOT NULL, core DESC, id DESC')} SELECT order_pos, reachdist, 'queue' AS label FROM path")
 def optics_queue_plot(spark, sf):
-    return reachability_plot(optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS), "queue")
+    return reachability_plot(optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS), "queue").select("order_pos", r6("reachdist", "reachdist"), "label")
+
+
+@query(f"SELECT {MIN_PTS} AS min_pts, CAST({EPS} AS DOUBLE) AS eps, CAST(0.05 AS DOUBLE) AS eps_cl")
+def optics_settings(spark, sf):
+    """What an ordering and the clusters cut from it tell of how they were made."""
+    made = optics(pknn(spark, sf), planted(spark, sf), EPS, MIN_PTS)
+    told = settings_of(made) | settings_of(cut(made, 0.05, 2))
+    return spark.createDataFrame([(told["min_pts"], told["eps"], told["eps_cl"])], "min_pts int, eps double, eps_cl double")
 
 
 @query()
@@ -445,7 +575,33 @@ def optics_xi(spark, sf):
 @query()
 def ann_recall(spark, sf):
     v = emb(spark, sf)
-    return knn.recall(knn.exact_knn(v, K), knn.search(v, K, n_trees=20, max_iter=2, leaf=64)).select("hits", "total", r6("recall", "recall"))
+    return knn.recall(knn.exact_knn(v, K), knn.search(v, K, n_trees=32, max_iter=2, leaf=96)).select("hits", "total", r6("recall", "recall"))
+
+
+@query(f"SELECT {K} * count(*) AS total, true AS reached FROM embeddings")
+def ann_reaches_nine_tenths(spark, sf):
+    """Recall against exact neighbours, at the settings of ann_recall."""
+    return ann_recall(spark, sf).select("total", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"SELECT {K} * count(*) AS edges, CAST(0 AS BIGINT) AS different FROM embeddings")
+def ann_index_agrees(spark, sf):
+    """A stored index gives the edges that the search which stored it found."""
+    v, path = emb(spark, sf), new_path(spark, "index")
+    made = written(knn.search(v, K, n_trees=6, max_iter=1, leaf=64, save=path), "edges")
+    again = written(search_index(spark, path, K, 1), "edges")
+    return made.agg(F.count("*").alias("edges")).withColumn("different", F.lit(made.exceptAll(again).count() + again.exceptAll(made).count()).cast("bigint"))
+
+
+@query("SELECT count(*) AS points, true AS apart FROM embeddings")
+def layout_keeps_blobs_apart(spark, sf):
+    """Vectors to coordinates by the whole pipeline: over four fifths of the five nearest points there belong to the same planted blob."""
+    p = written(planted(spark, sf), "planted")
+    made = layout(p.select("id", "features"), k=K, n_trees=10, sgd_batches=60 * 8192, seed=1).coords.withColumnRenamed("coords", "features")
+    near = knn.exact_knn(written(made, "coords"), 5)
+    ends = near.join(p.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(p.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
+    same = ends.agg(F.avg((F.col("a") == F.col("b")).cast("int")) > 0.8).first()[0]
+    return p.agg(F.count("*").alias("points")).withColumn("apart", F.lit(same))
 
 
 @query()
@@ -477,10 +633,14 @@ def layout_pipeline(spark, sf):
     return made.coords.select("id", F.col("coords")[0].alias("x"), F.col("coords")[1].alias("y"))
 
 
-@query()
+@query(
+    f"{_HDB} SELECT pl.id, round(pl.x, 6) AS x, round(pl.y, 6) AS y, cluster, round(glosh, 6) AS glosh, parent, round(up.x, 6) AS x2, round(up.y, 6) AS y2, round(und.dist, 6) AS distance "
+    "FROM pl JOIN pts USING (id) LEFT JOIN pl up ON up.id = parent LEFT JOIN und ON und.src = pl.id AND und.dst = parent"
+)
 def cluster_plot(spark, sf):
     e, p = pknn(spark, sf), planted(spark, sf)
-    return frames.cluster_frame(hdbscan(e, p, 20, 5), p.select("id", F.col("features").alias("coords")), e)
+    got = frames.cluster_frame(hdbscan(e, p, 20, 5), p.select("id", F.col("features").alias("coords")), e)
+    return got.select("id", r6("x", "x"), r6("y", "y"), F.col("cluster").cast("bigint").alias("cluster"), r6("glosh", "glosh"), "parent", r6("x2", "x2"), r6("y2", "y2"), r6("distance", "distance"))
 
 
 @query(
@@ -494,9 +654,17 @@ def mosaic(spark, sf):
     return got.select("id", r6("xmin", "xmin"), r6("xmax", "xmax"), r6("ymin", "ymin"), r6("ymax", "ymax"), r6(F.col("pixels")[0], "first_pixel"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {PL}, sc AS (SELECT id, (x - min(x) OVER ()) * (500 / (max(x) OVER () - min(x) OVER ())) AS x, (y - min(y) OVER ()) * (500 / (max(y) OVER () - min(y) OVER ())) AS y FROM pl), "
+    "cells AS (SELECT (j - 1) * 10 + i AS k, i, j FROM range(1, 11) a(i), range(1, 11) b(j)), "
+    "g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS id UNION ALL "
+    "SELECT c.k, list_append(any_value(used), arg_min(sc.id, pow(x - (i - 0.5) * 50, 2) + pow(y - (j - 0.5) * 50, 2))), arg_min(sc.id, pow(x - (i - 0.5) * 50, 2) + pow(y - (j - 0.5) * 50, 2)) "
+    "FROM g JOIN cells c ON c.k = g.k + 1, sc WHERE NOT list_contains(used, sc.id) GROUP BY c.k) "
+    "SELECT i AS cell_x, j AS cell_y, id, CAST(2 * id AS DOUBLE) AS pixel FROM g JOIN cells USING (k)"
+)
 def mosaic_grid(spark, sf):
-    return frames.grid_frame(planted(spark, sf).select("id", F.col("features").alias("coords")))
+    got = frames.grid_frame(planted(spark, sf).select("id", F.col("features").alias("coords")), image=lambda i: [i, 2 * i])
+    return got.select(F.col("cell_x").cast("bigint").alias("cell_x"), F.col("cell_y").cast("bigint").alias("cell_y"), "id", F.col("pixels")[1].alias("pixel"))
 
 
 @query(f"WITH {PL} SELECT id, round(x / sx, 6) AS x, round(y / sy, 6) AS y, r_regionkey AS facet FROM pl, region, (SELECT stddev_samp(x) AS sx, stddev_samp(y) AS sy FROM pl)")

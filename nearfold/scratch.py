@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+log = logging.getLogger("nearfold")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -36,6 +40,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder. Lost executors don't lose it, and reading it recomputes nothing."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    log.info("writing %s to %s", name, path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

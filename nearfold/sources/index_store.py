@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from nearfold.functions.distance import check_metric
 
 
-def save_index(vectors: DataFrame, assigned: DataFrame, metric: str, path: str) -> None:
+def save_index(vectors: DataFrame, leaves: DataFrame, metric: str, path: str) -> None:
     vectors.select("id", "features").write.mode("overwrite").parquet(f"{path}/vectors")
-    assigned.select("id", "tree", "leaf").write.mode("overwrite").partitionBy("tree").parquet(f"{path}/leaves")
+    leaves.select("id", "tree", "leaf").write.mode("overwrite").partitionBy("tree").parquet(f"{path}/leaves")
     vectors.sparkSession.range(1).select(F.lit(check_metric(metric)).alias("metric")).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
 
 
@@ -23,4 +23,4 @@ def search_index(spark: SparkSession, path: str, k: int = 150, max_iter: int = 1
         raise ValueError(f"the index was built for {stored}")
     vectors = spark.read.parquet(f"{path}/vectors")
     leaves = spark.read.parquet(f"{path}/leaves").select("id", F.col("tree").cast("int").alias("tree"), "leaf")
-    return refine(leaves.join(vectors, "id").select("id", "features", "tree", "leaf"), vectors, k, max_iter, stored)
+    return refine(leaves, vectors, k, max_iter, stored)

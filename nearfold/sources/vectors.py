@@ -30,12 +30,16 @@ def from_triplets(coo: DataFrame, size: int, id_col: str = "id", feature_col: st
     return rows.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("features"))
 
 
+def from_sparse(rows: DataFrame, size: int, id_col: str = "id", index_col: str = "indices", value_col: str = "values") -> DataFrame:
+    """Dense vectors of `size` from sparse ones, one a row as arrays of indices (from 0) and values; an index that repeats counts with its first value, others are 0."""
+    cell = lambda k: F.coalesce(F.get(F.col(value_col), F.array_position(F.col(index_col), k.cast("int")).cast("int") - 1).cast("double"), F.lit(0.0))
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell).alias("features"))
+
+
 def from_compressed(spark: SparkSession, i: list[int], p: list[int], x: list[float], size: int) -> DataFrame:
     """Vectors of a compressed sparse column matrix, whose columns are the examples: row indices, pointers and values."""
     columns = [(k, list(map(int, i[a:b])), list(map(float, x[a:b]))) for k, (a, b) in enumerate(zip(p[:-1], p[1:]))]
-    df = spark.createDataFrame(columns, "id bigint, idx array<int>, val array<double>")
-    cell = lambda k: F.coalesce(F.get("val", F.array_position("idx", k).cast("int") - 1), F.lit(0.0))
-    return df.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell).alias("features"))
+    return from_sparse(spark.createDataFrame(columns, "id bigint, indices array<int>, values array<double>"), size)
 
 
 def without_duplicates(vectors: DataFrame) -> DataFrame:

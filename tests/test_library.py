@@ -14,9 +14,10 @@ from nearfold.operators.components import connected_components
 from nearfold.operators.dbscan import dbscan
 from nearfold.operators.dendrogram import dendrogram
 from nearfold.operators.embed import Alias, layout, project, resolve_batches, starting_coords
-from nearfold.operators.hdbscan import core_distances, hdbscan, mutual_reachability, spanning_forest
+from nearfold.operators.hdbscan import core_distances, contracted, hdbscan, mutual_reachability, spanning_forest
 from nearfold.operators.lof import local_outlier_factor
-from nearfold.operators.optics import cut, optics, xi_clusters
+from nearfold.operators.joins import attach
+from nearfold.operators.optics import cut, optics, settings_of, xi_clusters
 from nearfold.operators.ordering import numbered
 from nearfold.plans.registry import planted
 from nearfold.scratch import new_path, written
@@ -351,3 +352,56 @@ def test_distance_table_has_nulls(spark):
     got = {(r.i, r.j): r.dist for r in E.distance_table(e, ids).collect()}
     assert got == {(2, 1): 0.5, (3, 1): 0.7, (3, 2): None}
     assert len(list(combinations(range(3), 2))) == 3 and distance is not None
+
+
+def test_forest_by_contraction(spark, near):
+    """Rounds of contraction give the same forest, and leave no task more edges than asked for."""
+    mutual = written(mutual_reachability(near, core_distances(near, 5)), "mutual")
+    whole = sorted(spanning_forest(mutual).collect())
+    for most in (1000, 20, 0):
+        chosen, rest = contracted(mutual, most)
+        assert chosen and rest.count() <= most < mutual.count()
+        assert sorted(spanning_forest(mutual, most_local=most).collect()) == whole
+    assert len(whole) == 490 and spanning_forest(mutual.limit(0), most_local=0).count() == 0
+
+
+def test_hot_keys_are_attached(spark):
+    rows = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    groups = written(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")), "groups")
+    got = attach(rows, groups, ["k"], "n", hot_least=50)
+    assert got.count() == 500 and got.filter("top is null or (k = 7 and top <> 498) or (k <> 7 and top <> k)").count() == 0
+
+
+def test_large_leaves_lose_no_pair(spark):
+    """One leaf that holds all vectors, most of them copies, cut into parts: the same as exact search."""
+    v = vec(spark, [[0.5, 0.5]] * 40 + [[float(i % 13), float(i % 7)] for i in range(80)])
+    leaves = written(v.select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("tree"), F.lit(0).cast("bigint").alias("leaf")), "leaves")
+    exact = sorted(map(tuple, knn.exact_knn(v, 6).collect()))
+    for most, at_once in ((9, 2), (4096, 8)):
+        assert sorted(map(tuple, knn.forest_knn(leaves, v, 6, most=most, trees_at_once=at_once).collect())) == exact
+
+
+def test_vectors_are_checked(spark):
+    good = vec(spark, [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]])
+    assert knn.checked(good) == (3, 2) and knn.checked(good.limit(0)) == (0, 0)
+    infinite = "if(id = 1, array(1D, CAST('Infinity' AS DOUBLE)), features) AS features"
+    for what, bad in {
+        "without an id": ["nullif(id, 1) AS id", "features"], "another has": ["1L AS id", "features"], "without a vector": ["id", "if(id = 1, NULL, features) AS features"],
+        "not finite": ["id", infinite], "1 to 2 elements": ["id", "if(id = 1, array(1D), features) AS features"],
+    }.items():
+        for call in (lambda x: knn.exact_knn(x, 1), lambda x: knn.search(x, 1, 2)):
+            with pytest.raises(ValueError, match=what):
+                call(good.selectExpr(*bad))
+
+
+def test_layouts_are_taken(points, near):
+    class Made:
+        coords, edges = points.select("id", F.col("features").alias("coords")), near
+
+    assert sorted(dbscan(Made, eps=0.1, min_pts=5).collect()) == sorted(dbscan(near, points, 0.1, 5).collect())
+    assert local_outlier_factor(Made).count() == 500
+    made = optics(Made, eps=0.1, min_pts=5)
+    assert made.count() == 500 and settings_of(made) == {"min_pts": 5, "eps": 0.1} and settings_of(cut(made, 0.05, 3)) == {"eps_cl": 0.05}
+    Made.edges = None
+    with pytest.raises(ValueError):
+        dbscan(Made)
