@@ -65,6 +65,18 @@ D2 = " + ".join(f"z{i} * z{i}" for i in range(P))
 BUCKET = f"CAST(least(4095, floor({STEPS} * ln(1 + d2))) AS BIGINT)"
 
 
+#: What concentration starts from, by number: medians and quartiles; mean and covariance of the whole group; medians and floors.
+STARTS = (0, 1, 2)
+S_NAMES = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in PAIRS)]
+LOG_DET = " + ".join(f"ln(l{i}_{i})" for i in range(P))
+
+
+def _start_of(k: int, quartile: str) -> list[str]:
+    """Centre and scales of start 0 or 2; quartile(i, j) is where the quartiles are."""
+    own = lambda i: f"greatest({FLOORS[i]!r}, ({quartile.format(i, 2)} - {quartile.format(i, 0)}) / 1.349)" if k == 0 else f"CAST({FLOORS[i]!r} AS DOUBLE)"
+    return [f"CAST({quartile.format(i, 1)} AS DOUBLE) AS m{i}" for i in range(P)] + [f"CAST({own(i) if i == j else '0.0'} AS DOUBLE) AS l{i}_{j}" for i, j in PAIRS]
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value evaluated once a row, within lambdas too."""
     return F.transform(F.array(value), use)[0]
@@ -135,15 +147,53 @@ def _layered(df: DataFrame, layers: list[list[str]]) -> DataFrame:
     return df
 
 
+def _concentrated(fit: DataFrame, factor: DataFrame, half: float) -> DataFrame:
+    """Of each group and start, the sums over the `half` that is nearest by the start's factor, and the factor of these."""
+    keys, xs = ["lang", "source"], [f"x{i}" for i in range(P)]
+    packed = written(factor.groupBy(*keys, "n_rows").agg(F.collect_list(F.struct("start", *FACTOR)).alias("f")), "factors")
+    every = attach(fit.select(*keys, *xs), packed, keys, "n_rows").select(*keys, *xs, "n_rows", F.explode("f").alias("f")).select(*keys, *xs, "n_rows", "f.*")
+    near = _layered(every, SOLVED).selectExpr("*", f"{D2} AS d2").selectExpr(*keys, "start", *xs, "n_rows", f"{BUCKET} AS bucket")
+    counted = near.groupBy(*keys, "start", "n_rows", "bucket").agg(F.count("*").alias("n"), *map(F.expr, SUMS))  # at most 4,096 rows a group and start
+    running = counted.selectExpr("*", "sum(n) OVER (PARTITION BY lang, source, start ORDER BY bucket) - n AS before").filter(F.col("before") < half * F.col("n_rows"))
+    sums = running.groupBy(*keys, "start", "n_rows").agg(F.sum("n").alias("n"), *map(F.expr, TOTALS))
+    return written(_layered(sums, centre_and_cholesky(1.0)).select(*keys, "start", "n_rows", *S_NAMES, *FACTOR), "concentrated")
+
+
+def minimum_determinant(fit: DataFrame, half: float, c_steps: int) -> DataFrame:
+    """(lang, source, n_rows, centre and Cholesky factor): of all STARTS, each concentrated until its subset stands still, the one whose covariance has the least determinant."""
+    keys = ["lang", "source"]
+    quartiles = [F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75)) AS q{i}") for i in range(P)]
+    known = written(fit.groupBy(*keys).agg(F.count("*").alias("n_rows"), *quartiles, *map(F.expr, SUMS)), "known")
+    parts = [known.selectExpr(*keys, "n_rows", f"{k} AS start", *_start_of(k, "q{}[{}]")) for k in (0, 2)]
+    whole = _layered(known.withColumn("n", F.col("n_rows")), centre_and_cholesky(1.0)).selectExpr(*keys, "n_rows", "1 AS start", *FACTOR)
+    live = written(parts[0].unionByName(whole).unionByName(parts[1]), "starts")
+    still, before = [], None
+    for _ in range(c_steps):
+        now = _concentrated(fit, live, half)
+        if before is not None:
+            same = [*keys, "start", *S_NAMES]
+            still.append(written(now.join(before.select(*same).hint("merge"), same, "left_semi"), "still"))
+            now = written(now.join(before.select(*same).hint("merge"), same, "left_anti"), "moving")
+        live = before = now
+        if now.isEmpty():
+            break
+    for x in still:
+        live = live.unionByName(x)
+    names = [*keys, "n_rows", *S_NAMES]
+    best = live.selectExpr("*", f"{LOG_DET} AS log_det").groupBy(*keys).agg(F.min_by(F.struct(*names[2:]), F.struct("log_det", "start")).alias("b")).select(*keys, "b.*")
+    return written(_layered(best, centre_and_cholesky(consistency(half))).select(*keys, "n_rows", *FACTOR), "factor")
+
+
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: float = 0.75, c_steps: int = 3, least_group: int = 50, tail: float = 1e-6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", half: float = 0.75, c_steps: int = 20, least_group: int = 50, tail: float = 1e-6
 ) -> DataFrame:
     """One row per row of docs: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2.
 
     Texts that pass the base rules are held against the minimum covariance determinant of their language and source: from
-    a start by medians and quartiles, c_steps concentration steps each take the `half` of the group that is nearest (whole
-    steps of distance, so ties stay together) and estimate its mean and covariance. A text is rejected if its squared
-    Mahalanobis distance, made consistent for a normal distribution, exceeds the chi-squared quantile of `tail`.
+    each of three starts, concentration steps take the `half` of the group that is nearest (whole steps of distance, so ties stay
+    together) and estimate its mean and covariance, until the subset stands still, c_steps at most; the estimate of least determinant
+    holds. A text is rejected if its squared Mahalanobis distance, made consistent for a normal distribution, exceeds the
+    chi-squared quantile of `tail`.
 
     Groups of fewer than least_group texts are estimated together, by language. Every covariance gets the squared FLOORS on
     its diagonal: it never is singular, and a group of equal texts rejects nothing but real strays. Null languages and
@@ -157,17 +207,7 @@ def quality_rules(
     sizes = written(fit.groupBy(*keys).agg(F.count("*").alias("n_rows")), "sizes")
     pooled = F.when(F.col("n_rows") >= least_group, F.concat(F.lit("="), F.col("source"))).otherwise("*")
     fit = written(attach(fit, sizes, keys, "n_rows").withColumn("source", pooled).select(*keys, *shown, *xs), "fit")
-    quartiles = [F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75)) AS q{i}") for i in range(P)]
-    start = [f"q{i}[1] AS m{i}" for i in range(P)]
-    start += [f"greatest({FLOORS[i]!r}D, (q{i}[2] - q{i}[0]) / 1.349D) AS l{i}_{i}" if i == j else f"0.0D AS l{i}_{j}" for i, j in PAIRS]
-    factor = written(fit.groupBy(*keys).agg(F.count("*").alias("n_rows"), *quartiles).selectExpr(*keys, "n_rows", *start), "factor")
-    for step in range(c_steps):
-        near = _layered(attach(fit.select(*keys, *xs), factor, keys, "n_rows"), SOLVED).selectExpr("*", f"{D2} AS d2").selectExpr(*keys, *xs, "n_rows", f"{BUCKET} AS bucket")
-        counted = written(near.groupBy(*keys, "n_rows", "bucket").agg(F.count("*").alias("n"), *map(F.expr, SUMS)), "buckets")  # at most 4,096 rows a group
-        running = counted.selectExpr("*", "sum(n) OVER (PARTITION BY lang, source ORDER BY bucket) - n AS before").filter(F.col("before") < half * F.col("n_rows"))
-        sums = running.groupBy(*keys, "n_rows").agg(F.sum("n").alias("n"), *map(F.expr, TOTALS))
-        scale = consistency(half) if step == c_steps - 1 else 1.0
-        factor = written(_layered(sums, centre_and_cholesky(scale)).select(*keys, "n_rows", *FACTOR), "factor")
+    factor = minimum_determinant(fit, half, c_steps)
     measured = _layered(attach(fit, factor, keys, "n_rows"), SOLVED).selectExpr(*shown, f"{D2} AS distance2")
     judged = measured.withColumn("kept", F.col("distance2") <= chi2_quantile(tail, P))
     failed = stats.filter("base_failed").select(*shown, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
@@ -184,7 +224,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("distance2")
 
 
-def oracle(half: float = 0.75, c_steps: int = 3, least_group: int = 50, tail: float = 1e-6) -> str:
+def oracle(half: float = 0.75, c_steps: int = 20, least_group: int = 50, tail: float = 1e-6) -> str:
     """The same in SQL: base statistics by grouping windows, then every concentration step as its own tables."""
     xs = ", ".join(f"x{i}" for i in range(P))
     ctes = [
@@ -197,12 +237,11 @@ def oracle(half: float = 0.75, c_steps: int = 3, least_group: int = 50, tail: fl
         "b AS (SELECT rid, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, "
         "CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines - n_diff, 0) AS BIGINT) AS n_dup_lines, "
         "CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN v3 USING (rid) LEFT JOIN l USING (rid))",
-        f"s AS (SELECT *, {BASE_FAILED} AS base_failed, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(STATISTICS)) + " FROM b)",
-        f"fit AS (SELECT rid, lang, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= {least_group} THEN '=' || source ELSE '*' END AS source, {xs} FROM s WHERE NOT base_failed)",
+        f"s AS MATERIALIZED (SELECT *, {BASE_FAILED} AS base_failed, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(STATISTICS)) + " FROM b)",
+        f"fit AS MATERIALIZED (SELECT rid, lang, CASE WHEN count(*) OVER (PARTITION BY lang, source) >= {least_group} THEN '=' || source ELSE '*' END AS source, {xs} FROM s WHERE NOT base_failed)",
     ]
-    start = [f"quantile_cont(x{i}, 0.5) AS m{i}" for i in range(P)]
-    start += [f"greatest({FLOORS[i]!r}, (quantile_cont(x{i}, 0.75) - quantile_cont(x{i}, 0.25)) / 1.349) AS l{i}_{i}" if i == j else f"0.0::DOUBLE AS l{i}_{j}" for i, j in PAIRS]
-    ctes.append(f"f0 AS (SELECT lang, source, count(*) AS n_rows, {', '.join(start)} FROM fit GROUP BY lang, source)")
+    known = ", ".join([f"quantile_cont(x{i}, {q}) AS q{i}_{k}" for i in range(P) for k, q in enumerate((0.25, 0.5, 0.75))] + SUMS)
+    ctes.append(f"known AS MATERIALIZED (SELECT lang, source, count(*) AS n_rows, count(*) AS n, {known} FROM fit GROUP BY lang, source)")
 
     def chain(name: str, source: str, layers: list[list[str]]) -> str:
         for k, layer in enumerate(layers):
@@ -210,15 +249,21 @@ def oracle(half: float = 0.75, c_steps: int = 3, least_group: int = 50, tail: fl
             source = f"{name}_{k}"
         return source
 
+    at = chain("first", "known", centre_and_cholesky(1.0))
+    plain = [f"SELECT lang, source, n_rows, {k} AS start, {', '.join(_start_of(k, 'q{}_{}'))} FROM known" for k in (0, 2)]
+    ctes.append(f"f0 AS MATERIALIZED ({' UNION ALL '.join(plain)} UNION ALL SELECT lang, source, n_rows, 1 AS start, {', '.join(FACTOR)} FROM {at})")
     for step in range(c_steps):
-        ctes.append(f"j{step} AS (SELECT rid, fit.lang, fit.source, {xs}, n_rows, {', '.join(FACTOR)} FROM fit JOIN f{step} USING (lang, source))")
+        ctes.append(f"j{step} AS (SELECT rid, fit.lang, fit.source, start, {xs}, n_rows, {', '.join(FACTOR)} FROM fit JOIN f{step} USING (lang, source))")
         at = chain(f"z{step}", f"j{step}", [*SOLVED, [f"{D2} AS d2"], [f"{BUCKET} AS bucket"]])
-        ctes.append(f"c{step} AS (SELECT lang, source, n_rows, bucket, count(*) AS n, {', '.join(SUMS)} FROM {at} GROUP BY ALL)")
-        ctes.append(f"r{step} AS (SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY bucket) - n AS before FROM c{step})")
-        ctes.append(f"t{step} AS (SELECT lang, source, n_rows, sum(n) AS n, {', '.join(TOTALS)} FROM r{step} WHERE before < {half} * n_rows GROUP BY ALL)")
-        at = chain(f"e{step}", f"t{step}", centre_and_cholesky(consistency(half) if step == c_steps - 1 else 1.0))
-        ctes.append(f"f{step + 1} AS (SELECT lang, source, n_rows, {', '.join(FACTOR)} FROM {at})")
-    ctes.append(f"j AS (SELECT rid, {xs}, {', '.join(FACTOR)} FROM fit JOIN f{c_steps} USING (lang, source))")
+        ctes.append(f"c{step} AS (SELECT lang, source, start, n_rows, bucket, count(*) AS n, {', '.join(SUMS)} FROM {at} GROUP BY ALL)")
+        ctes.append(f"r{step} AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, start ORDER BY bucket) - n AS before FROM c{step})")
+        ctes.append(f"t{step} AS (SELECT lang, source, start, n_rows, sum(n) AS n, {', '.join(TOTALS)} FROM r{step} WHERE before < {half} * n_rows GROUP BY ALL)")
+        at = chain(f"e{step}", f"t{step}", centre_and_cholesky(1.0))
+        ctes.append(f"f{step + 1} AS MATERIALIZED (SELECT lang, source, start, n_rows, {', '.join([*S_NAMES, *FACTOR])} FROM {at})")
+    ctes.append(f"best AS (SELECT lang, source, n_rows, {', '.join(S_NAMES)} FROM f{c_steps} QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY {LOG_DET}, start) = 1)")
+    at = chain("last", "best", centre_and_cholesky(consistency(half)))
+    ctes.append(f"f AS (SELECT lang, source, n_rows, {', '.join(FACTOR)} FROM {at})")
+    ctes.append(f"j AS (SELECT rid, {xs}, {', '.join(FACTOR)} FROM fit JOIN f USING (lang, source))")
     at = chain("z", "j", [*SOLVED, [f"{D2} AS d2"]])
     return "WITH " + ",\n".join(ctes) + (
         f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(d2 <= {chi2_quantile(tail, P)!r}, false) AS kept FROM s LEFT JOIN {at} USING (rid)"
