@@ -99,8 +99,8 @@ def token_pieces(
 class Packing:
     """Bins of one block of lengths, and the genetic operations on them. A genome is the bin of each item, numbered from 0."""
 
-    def __init__(self, lengths: np.ndarray, capacity: int, seed: list[int]):
-        self.lengths, self.capacity, self.rng = lengths.astype(np.int64), capacity, np.random.default_rng(seed)
+    def __init__(self, lengths: np.ndarray, capacity: int, seed: list[int], spare: int = 0):
+        self.lengths, self.capacity, self.rng, self.spare = lengths.astype(np.int64), capacity, np.random.default_rng(seed), spare
         self.least = -(-int(self.lengths.sum()) // capacity)
 
     def best_fit(self, bins: np.ndarray, fill: list[int], items: np.ndarray) -> np.ndarray:
@@ -139,6 +139,11 @@ class Packing:
         fill = np.bincount(genome, self.lengths)
         return -len(fill), float(((fill / self.capacity) ** 2).sum())
 
+    def done(self, genome: np.ndarray) -> bool:
+        """No fewer bins are possible; or, where the emptiest bins are packed again, the others waste a quarter of a bin at most."""
+        fill = np.bincount(genome, self.lengths)
+        return len(fill) <= self.least or bool(self.spare and (self.capacity - np.sort(fill)[self.spare :]).sum() <= self.capacity // 4)
+
     def cross(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Whole well-filled bins of other go into one; bins of one that hold a copy of their items are dissolved, and what is displaced is placed by best fit."""
         fill = np.bincount(other, self.lengths)
@@ -206,10 +211,10 @@ class Packing:
         return sums[order], np.stack([i, j], 1)[order]
 
     def evolve(self, genomes: list[np.ndarray], generations: int) -> list[np.ndarray]:
-        """Best first. Ends early when the best needs no more bins than the total length demands."""
+        """Best first. Ends early when the best is done."""
         ranked = sorted(((self.fitness(g), -k, g) for k, g in enumerate(genomes)), key=lambda x: x[:2], reverse=True)
         for t in range(generations):
-            if -ranked[0][0][0] <= self.least or len(self.lengths) < 2:
+            if len(self.lengths) < 2 or self.done(ranked[0][2]):
                 break
             a, b = self.rng.choice(len(ranked), 2, replace=len(ranked) < 2)
             child = self.cross(ranked[a][2], ranked[b][2])
@@ -219,14 +224,14 @@ class Packing:
 
 
 def pack(
-    items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 40, spare: int = 8, seed: int = 7
+    items: DataFrame, capacity: int = CAPACITY, block: int = 4096, islands: int = 2, population: int = 6, epochs: int = 3, generations: int = 12, spare: int = 8, seed: int = 7
 ) -> DataFrame:
     """(rid, sequence_id, place) for items (rid unique, length at most capacity), with as few sequences as it can.
 
     Items are spread by hash over blocks of about `block`; no task holds more. A block is evolved on several islands at once,
-    each a row of its own; between epochs every island's elite migrates to the next island of its block. A block that needs no more
-    bins than its total length demands is done. The `spare` emptiest bins of every block are dissolved, and their items go through the
-    same in blocks of their own, until one block is left: so blocks together lose about one sequence, not half a sequence each.
+    each a row of its own; between epochs every island's elite migrates to the next island of its block. A block is done when
+    its total length demands the bins that it needs, or all but its `spare` emptiest together waste a quarter of one at most. The `spare` emptiest bins of every block are dissolved, and their items go through the
+    same in blocks of their own, until one block is left: so blocks lose that quarter each, and one sequence together.
     Items of the full capacity are sequences of their own. The state of each epoch is a table in the shared folder.
     """
     left, done, level = written(items.filter(F.col("length") < capacity).select("rid", "length"), "items"), [], 0
@@ -260,18 +265,19 @@ def _pack_blocks(part: DataFrame, blocks: int, capacity: int, islands: int, popu
                 for k in range(batch.num_rows):
                     row = {name: batch.column(name)[k] for name in batch.schema.names}
                     number, island = row["block"].as_py(), row["island"].as_py()
-                    work = Packing(row["lengths"].values.to_numpy(), capacity, [*seed, number, island, epoch])
+                    work = Packing(row["lengths"].values.to_numpy(), capacity, [*seed, number, island, epoch], spare)
                     if epoch == 0:
                         genomes = [work.fresh(0.0 if j == 0 and island == 0 else 0.15 * (j + island)) for j in range(population)]
                     else:
                         genomes = [np.frombuffer(g, "<i4").astype(np.int64) for g in [row["elite"].as_py(), *row["genomes"].as_py()]]
                     genomes = work.evolve(genomes, generations)[:population]
                     bins, total = work.fitness(genomes[0])
-                    if -bins <= work.least:
+                    open_ = not work.done(genomes[0])
+                    if not open_:
                         genomes = genomes[:1]  # nothing is left to win
                     yield pa.record_batch(
                         [pa.array([number]), pa.array([island], pa.int32()), pa.array([row["lengths"].as_py()], pa.list_(pa.int32())),
-                         pa.array([[g.astype("<i4").tobytes() for g in genomes]], pa.list_(pa.binary())), pa.array([-bins]), pa.array([total]), pa.array([-bins > work.least])],
+                         pa.array([[g.astype("<i4").tobytes() for g in genomes]], pa.list_(pa.binary())), pa.array([-bins]), pa.array([total]), pa.array([open_])],
                         ["block", "island", "lengths", "genomes", "bins", "fitness", "open"],
                     )
 
