@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import attach, key_of, row_key, table
-from nearfold.scratch import new_path, written
+from nearfold.scratch import discard, new_path, written
 
 
 class DigestIndex:
     """Digests of all texts seen so far, in an external table clustered and sorted by digest.
 
     A new batch is reduced to one row per digest, anti-joined to the index by sort-merge and appended; both sides are
-    partitioned by digest into the same buckets, so the index itself is never shuffled. Opening the same path again
+    partitioned by digest into the same buckets, so the index itself is never shuffled. Every batch adds a sorted file to a bucket; Spark
+    sorts a bucket of several files once more before it merges, within its task. Opening the same path again
     continues it, in another session as well. A batch that is repeated under its name, for example after a lost
     driver, gives the same result and appends nothing.
 
@@ -45,6 +46,12 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def close(self, delete: bool = False) -> None:
+        """Takes the table out of the session's catalog, and deletes the index if asked to. What deduplicate returned stays valid, as it reads tables of its own."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if delete:
+            discard(self.spark, self.path)
+
     def deduplicate(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per row of docs: id, keep_id, group_size, kept, text_sha256. Appends what is new to the index."""
         staged = written(
@@ -84,12 +91,15 @@ class DigestIndex:
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of `documents` against a new index."""
-    return DigestIndex(spark).deduplicate(table(spark, sf_dir, "documents"), "all")
+    index = DigestIndex(spark)
+    found = index.deduplicate(table(spark, sf_dir, "documents"), "all")
+    index.close(delete=True)
+    return found
 
 
 OP1_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
@@ -99,7 +109,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null text counts as empty. Rows that repeat both doc_id and text count as one document, of which one row stays; columns may have any names.
     """
-    seen = DigestIndex(spark).deduplicate(docs, "stage")
+    index = DigestIndex(spark)
+    seen = index.deduplicate(docs, "stage")
+    index.close(delete=True)
     # one key for the join and for repeats, so that the texts are shuffled once: SHA-256 of id and text's digest
     stay = seen.filter("kept").select(key_of(F.col("doc_id"), F.col("text_sha256")).alias("chosen"))
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key"))

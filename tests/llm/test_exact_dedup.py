@@ -41,6 +41,13 @@ def test_index_persists_appends_and_repeats_a_batch(spark):
     assert repeat == {7: False, 8: False, 9: True} and again.table().count() == 3
     plan = again.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # bucketed by digest
+    tables = len(spark.catalog.listTables())
+    again.close()
+    assert len(spark.catalog.listTables()) == tables - 1 and DigestIndex(spark, index.path).table().count() == 3
+    gone = DigestIndex(spark)
+    found = gone.deduplicate(make(spark, [(1, "a"), (2, "a")]), "one")
+    gone.close(delete=True)
+    assert sorted(r.kept for r in found.collect()) == [False, True] and len(spark.catalog.listTables()) == tables
 
 
 def test_empty_table_and_stage(spark):
