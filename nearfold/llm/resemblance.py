@@ -154,7 +154,7 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return known.filter("c_a is null or c_b is null or c_a <> c_b").select("a", "b")
 
 
-def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, block: int = 20_000) -> DataFrame:
+def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, block: int = 20_000, most_sent: int = 4_000_000) -> DataFrame:
     """(node, component) of those nodes that are linked: shingle sets sharing at least `similarity` of their union.
 
     classes is (node, fp, m0, m1, size), sets (node, shingles). Candidates share four of the eight positional bytes of some word
@@ -163,7 +163,8 @@ def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, blo
 
     Pairs within what hangs together already need no verification. So each node's first partner is verified, then the pairs that
     remain between components, then all such pairs of lists that are longer than SHORT. These lists are left out if all
-    of one component; beyond `block` rows they are compared block by block, and no list is ever held whole or cut off.
+    of one component. The numbers of the nodes that may be compared are broadcast up to `most_sent` (eight bytes each), else their
+    sets are found by sort-merge; lists beyond `block` rows are compared block by block, and none is cut off.
     """
 
     def first(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def resembling(classes: DataFrame, sets: DataFrame, similarity: float = 0.8, blo
     if n_open:
         ends = ends.unionByName(index.join(lists, "key", "left_semi").select("node"))
     ends = written(ends.distinct(), "ends")
-    few = ends.count() <= 500_000
+    few = ends.count() <= most_sent
     sets = written(sets.join(F.broadcast(ends) if few else ends.hint("merge"), "node", "left_semi"), "sets")
 
     links = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, similarity), "links")

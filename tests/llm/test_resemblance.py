@@ -72,7 +72,7 @@ def test_groups_against_all_pairs(spark, block):
             rows.append((k, 0, m0, m1, len(own)))
             sets.append((k, own.view(np.int64).tolist()))
     classes = spark.createDataFrame(rows, "node bigint, fp bigint, m0 bigint, m1 bigint, size bigint")
-    comp = {r.node: r.component for r in resembling(classes, spark.createDataFrame(sets, "node bigint, shingles array<bigint>"), 0.8, block).collect()}
+    comp = {r.node: r.component for r in resembling(classes, spark.createDataFrame(sets, "node bigint, shingles array<bigint>"), 0.8, block, most_sent=10).collect()}
     want = groups([texts[r[0]] for r in rows])
     assert [comp.get(r[0], r[0]) for r in rows] == [rows[w][0] for w in want]
 
