@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from nearfold.scratch import written
 
 WORDS, PAIRS, SHAPES = 4096, 4096, 64
 BUCKETS = WORDS + PAIRS + 2 * SHAPES * SHAPES
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def shape(word: str) -> int:
@@ -30,17 +32,41 @@ class _Codes(dict):
     """word -> hash and shape in one number, computed once per distinct word while the cache lasts."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = (xxhash.xxh32_intdigest(word) << 6) | shape(word.decode("utf-8", "replace"))
+        out = (xxhash.xxh32_intdigest(word) << 6) | shape(word.decode("utf-8", "replace"))
+        if len(word) <= 64:  # what is cached is bounded in bytes too
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = out
         return out
 
 
 _codes = _Codes()
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of all n-grams: words, pairs of words, and pairs of shapes with whether the same word comes twice."""
+def cut(text: bytes, most: int) -> Iterator[tuple[bytes, bool]]:
+    """(part, whether its first word is the last of the part before) of a text: parts of about `most` bytes between blanks, a longer word stays whole."""
+    start = end = 0
+    carried = False
+    while end < len(text):
+        blank = BLANK.search(text, min(len(text), end + most))
+        end = blank.start() if blank else len(text)
+        part = text[start:end].rstrip()
+        yield part, carried
+        last = part.rsplit(None, 1)[-1:]
+        carried = bool(last)
+        start = start + len(part) - len(last[0]) if last else end
+
+
+def grams(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams_of all texts; a longer one that comes alone, as from sliced, in parts, so that what is held at once doesn't grow with it."""
+    if len(texts) == 1 and len(texts[0]) > most:
+        yield from (grams_of([part], carried) for part, carried in cut(texts[0], most))
+    else:
+        yield grams_of(texts)
+
+
+def grams_of(texts: list[bytes], carried: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of all n-grams: words, pairs of words, and pairs of shapes with whether the same word comes twice. The first word of all is left out if carried."""
     split = [t.split() for t in texts]  # the six blanks
     sizes = [len(x) for x in split]
     code = np.fromiter((_codes[w] for x in split for w in x), np.int64, sum(sizes))
@@ -49,8 +75,8 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     a = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
     b = a + 1
     pair = (word[a] * 0x9E3779B1 + word[b] * 0x85EBCA77) >> 20
-    buckets = [word % WORDS, WORDS + pair % PAIRS, WORDS + PAIRS + (look[a] * SHAPES + look[b]) * 2 + (word[a] == word[b])]
-    return np.concatenate(buckets), np.concatenate([doc, doc[a], doc[a]])
+    buckets = [word[carried:] % WORDS, WORDS + pair % PAIRS, WORDS + PAIRS + (look[a] * SHAPES + look[b]) * 2 + (word[a] == word[b])]
+    return np.concatenate(buckets), np.concatenate([doc[carried:], doc[a], doc[a]])
 
 
 def count_grams(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,10 +88,10 @@ def count_grams(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, BUCKETS), np.int64)
         for part in sliced(batches, "text"):
-            bucket, doc = grams([t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()])
             good = np.array([bool(x) for x in part.column(1).to_pylist()])
-            counts[0] += np.bincount(bucket, minlength=BUCKETS)
-            counts[1] += np.bincount(bucket[good[doc]], minlength=BUCKETS)
+            for bucket, doc in grams([t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]):
+                counts[0] += np.bincount(bucket, minlength=BUCKETS)
+                counts[1] += np.bincount(bucket[good[doc]], minlength=BUCKETS)
         at = np.flatnonzero(counts[0])
         yield pa.record_batch([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["bucket", "raw", "target"])
 
@@ -87,10 +113,13 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, "text"):
-            bucket, doc = grams([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
             n = part.num_rows
+            sizes, sums = np.zeros(n, np.int64), np.zeros(n)
+            for bucket, doc in grams([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]):
+                sizes += np.bincount(doc, minlength=n)
+                sums += np.bincount(doc, ratios[bucket], minlength=n)
             yield pa.record_batch(
-                [part.column(0), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, ratios[bucket], minlength=n).astype(float)), *part.columns[2:]],
+                [part.column(0), pa.array(sizes), pa.array(sums), *part.columns[2:]],
                 ["id", "n_grams", "log_weight", *part.schema.names[2:]],
             )
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import bounded_sample
-from nearfold.llm.quality import BUCKETS, PAIRS, SHAPES, WORDS, best_cut, gumbel, kth_largest, quality_stage, resample, shape
+from nearfold.llm.quality import BUCKETS, PAIRS, SHAPES, WORDS, _codes, best_cut, grams, grams_of, gumbel, kth_largest, quality_stage, resample, shape
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +104,26 @@ def test_held_out_labels_and_noise(spark):
     assert own[1] >= 0.995 and own[0] <= 0.02
     k = int(got.kept.sum())
     assert 1 <= len(set(got.nlargest(k, "score").index) - set(got[got.kept].index)) <= k // 100  # the noise decides near the cut
+
+
+def test_long_text_in_parts():
+    rng = np.random.default_rng(3)
+    blanks = [" ", "\n", "\t \r", "\x0b", "\x0c  "]
+    texts = ["".join(rng.choice(["é", "ab", "Cd9", "word" * 9, "x"]) + rng.choice(blanks) * int(rng.integers(0, 3)) for _ in range(200)) for _ in range(50)]
+    texts += ["", " ", "  \n" * 50 + "one" + " " * 90 + "two " + "long" * 60 + " end" + "\t" * 70, "long" * 60]
+    for text in texts:
+        for most in (1, 7, 64):
+            got = Counter(b for bucket, _ in grams([text.encode()], most) for b in bucket.tolist())
+            assert got == Counter(plain_grams(text)), (most, text)
+
+
+def test_memory_does_not_grow_with_a_text():
+    text = b"some words of a Long text, 123 in all; " * 250_000  # 10 MB, two million words
+    tracemalloc.start()
+    n = sum(len(bucket) for bucket, _ in grams([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3 * 9 * 250_000 - 2 and peak < 200e6  # 109 MB as measured; 417 where all is split at once
+    _codes.clear()
+    grams_of([b" ".join(b"%d" % k * 2000 for k in range(100))])
+    assert not _codes  # long words aren't kept
