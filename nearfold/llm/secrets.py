@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
 import string
-from collections import Counter
-from collections.abc import Iterator
+import sys
+from array import array
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +81,14 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 def regions(text: str) -> list[tuple[int, int]]:
     """(start, end) of what the field reads, in order and apart. They begin and end between words, if one is near."""
-    found = [(s, e + 8) for s, e in candidates(text)]
+    found = [((s, e + 8) for s, e in candidates(text))]
     low = text.lower()
     if any(x in low for x in NAMES):
-        found += [(m.start(), m.end() + AFTER) for m in NAMED.finditer(text)]
+        found.append((m.start(), m.end() + AFTER) for m in NAMED.finditer(text))
     if "://" in text and "@" in text:
-        found += [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+        found.append(m.span() for m in ADDRESS.finditer(text))
     out: list[tuple[int, int]] = []
-    for s, e in sorted(found):
+    for s, e in heapq.merge(*found):  # each comes in order
         a = max(0, s - BEFORE)
         if a and (blank := BLANK.search(text, a, s)):
             a = blank.end()
@@ -98,8 +101,25 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    return [m.span() for m in TOKEN.finditer(text, start, end)]
+class Tokens:
+    """(start, end) of the tokens of a region, eight bytes each: a region may be as long as its text."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.starts, self.ends = array("i"), array("i")
+        for m in TOKEN.finditer(text, start, end):
+            s, e = m.span()
+            self.starts.append(s)
+            self.ends.append(e)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        return zip(self.starts, self.ends)
+
+
+def tokens_of(text: str, start: int, end: int) -> Tokens:
+    return Tokens(text, start, end)
 
 
 def _bucket(x: float, *edges: float) -> int:
@@ -114,7 +134,7 @@ def file_features(text: str) -> list[str]:
 
 
 class _Shapes(dict):
-    """token -> features of its letters alone, computed once per distinct token while the cache lasts."""
+    """token -> features of its letters alone, computed once per distinct token while the cache lasts. They are interned: most are alike."""
 
     def __missing__(self, token: str) -> list[str]:
         if len(self) > 200_000:
@@ -138,50 +158,55 @@ class _Shapes(dict):
                 out.append("word=" + token.lower())
             if "." in token or "/" in token or "-" in token:
                 out.append(f"parts{min(6, len(re.split('[./-]', token)))}" + ("word" if words > 4 else "noword"))
-        self[token] = out
+        out = [sys.intern(x) for x in out]
+        if n <= 256:  # what is cached is bounded in bytes too
+            self[token] = out
         return out
 
 
 _shapes = _Shapes()
 
 
-def chain_features(text: str, tokens: list[tuple[int, int]], file: list[str]) -> list[list[str]]:
+def chain_features(text: str, tokens: Tokens, file: list[str]) -> Iterator[list[str]]:
     """Features of each token of a region: its shape, its neighbours, the run of tokens without blanks it is in, the name it is under, and the file's."""
-    words = [text[s:e] for s, e in tokens]
-    low = [w.lower()[:12] for w in words]
-    n, out = len(tokens), []
-    # runs without blanks
-    first = [0] * n
-    for k in range(1, n):
-        first[k] = first[k - 1] if tokens[k][0] == tokens[k - 1][1] else k
-    last = [0] * n
-    for k in range(n - 1, -1, -1):
-        last[k] = last[k + 1] if k + 1 < n and first[k + 1] == first[k] else k
+    starts, ends, n = tokens.starts, tokens.ends, len(tokens)
+    word = lambda k: text[starts[k] : ends[k]]
+    lows = deque(["", "", "", "", word(0).lower()[:12] if n else ""], 5)  # beginnings of the three words before, this one and the next
+    first = last = -1  # of the run
     named, under = -99, ""  # where the last name was, and which
     chunk: list[str] = []
-    for k, w in enumerate(words):
-        if first[k] == k:
-            s, e = tokens[k][0], min(tokens[last[k]][1], tokens[k][0] + 160)
-            run = text[s:e]
+    for k in range(n):
+        w, s = word(k), starts[k]
+        lows.append(word(k + 1).lower()[:12] if k + 1 < n else "")
+        if k > last:
+            first = last = k
+            while last + 1 < n and starts[last + 1] == ends[last]:
+                last += 1
+            end = ends[last]
+            run = text[s : min(end, s + 160)]
             kinds = sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run), any(not c.isalnum() for c in run)))
-            chunk = [f"run{_bucket(len(run), 6, 10, 16, 24, 40)}kinds{kinds}", f"runof{_bucket(last[k] - k, 1, 2, 4, 8)}"]
-        gap = text[tokens[k - 1][1] : tokens[k][0]] if k else " "
-        near = ["gap=" + ("none" if not gap else f"line{_bucket(len(w), 3, 9, 24)}" if gap in ("\n", "\r\n") else "lines" if "\n" in gap else "space"), *(f"before{d}={low[k - d]}" if k >= d else f"before{d}=" for d in (1, 2, 3)), f"after={low[k + 1]}" if k + 1 < n else "after="]
+            long = f"run{_bucket(len(run), 6, 10, 16, 24, 40)}kinds{kinds}"
+            # the run's address and the mark of its user, found once for all its tokens; its last token that is an @
+            address = text.find("://", s, end)
+            user = text.find(":", address + 3, end) if address >= 0 else -1
+            at = next((j for j in range(last, first, -1) if ends[j] - starts[j] == 1 and text[starts[j]] == "@"), -1) if text.find("@", s, end) >= 0 else -1
+            chunk = [long, f"runof{_bucket(last - k, 1, 2, 4, 8)}"]
+        gap = text[ends[k - 1] : s] if k else " "
+        near = ["gap=" + ("none" if not gap else f"line{_bucket(len(w), 3, 9, 24)}" if gap in ("\n", "\r\n") else "lines" if "\n" in gap else "space"), *(f"before{d}={lows[3 - d]}" for d in (1, 2, 3)), f"after={lows[4]}"]
         if k - named <= 8:
-            line = "\n" in text[tokens[named][1] : tokens[k][0]]
+            line = text.find("\n", ends[named], s) >= 0
             near += [f"under{_bucket(k - named, 2, 3, 4, 6)}" + "line" * line, f"under={under}{_bucket(k - named, 3, 5)}"]
-            if not line and words[named + 1 : k] and any(x in ":=" for x in words[named + 1 : k]):
+            if not line and any(word(j) in ":=" for j in range(named + 1, k)):
                 near.append(f"value{_bucket(k - named, 3, 4, 5)}" + ("long" if len(w) >= 6 else "short"))
-        elif (at := "".join(words[max(0, first[k]) : k])) and "://" in at:
-            near.append("address" + ("user" if ":" in at.split("://", 1)[1] else ""))
+        elif 0 <= address <= s - 3:
+            near.append("address" + ("user" if 0 <= user < s else ""))
         if k and not gap:
-            near.append(f"glue={low[k - 1] if len(low[k - 1]) == 1 else 'word'}{'word' if w[0].isalnum() else w[0]}")
-        if "@" in words[k + 1 : last[k] + 1]:
+            near.append(f"glue={lows[2] if len(lows[2]) == 1 else 'word'}{'word' if w[0].isalnum() else w[0]}")
+        if at > k:
             near.append("beforeat")
-        out.append(["bias", *_shapes[w], *near, *chunk, *file])
+        yield ["bias", *_shapes[w], *near, *chunk, *file]
         if (m := KEYLIKE.search(w)) and len(w) <= 40:
             named, under = k, m.group().lower()
-    return out
 
 
 class ChainField:
@@ -196,20 +221,21 @@ class ChainField:
         self.weights = np.zeros((len(names), 3))
         self.moves = np.array([[0.0, 0.0, -1e9], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
 
-    def emissions(self, chain: list[list[str]]) -> np.ndarray:
-        return np.array([self.weights[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in chain])
+    def emissions(self, chain: Iterable[list[str]]) -> Iterator[list[float]]:
+        for fs in chain:
+            yield self.weights[[self.index[f] for f in fs if f in self.index]].sum(0).tolist()
 
-    def viterbi(self, emitted: np.ndarray) -> list[int]:
-        moves, back = self.moves.tolist(), []
-        rows = emitted.tolist()
-        best = [m + e for m, e in zip(moves[0], rows[0])]
-        for row in rows[1:]:
+    def viterbi(self, emitted: Iterable) -> list[int]:
+        """Labels of a chain of emissions, of which it keeps only where each label came from, a byte each."""
+        moves, back, rows = self.moves.tolist(), bytearray(), iter(emitted)
+        best = [m + e for m, e in zip(moves[0], next(rows))]
+        for row in rows:
             came = [max(range(3), key=lambda a, b=b: best[a] + moves[a][b]) for b in range(3)]
-            back.append(came)
+            back += bytes(came)
             best = [best[came[b]] + moves[came[b]][b] + row[b] for b in range(3)]
         labels = [max(range(3), key=lambda a: best[a] + moves[a][0])]
-        for came in reversed(back):
-            labels.append(came[labels[-1]])
+        for at in range(len(back) - 3, -1, -3):
+            labels.append(back[at + labels[-1]])
         return labels[::-1]
 
     def fit(self, chains: list[list[list[str]]], labels: list[list[int]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-3, most: int = 48) -> ChainField:
@@ -388,7 +414,7 @@ def _training(texts: list[str], made_up: int, seed: int) -> tuple[list, list]:
                 y.append(0 if hit is None else 2 if hit == last else 1)
                 last = hit
             if tokens:
-                chains.append(chain_features(text, tokens, file))
+                chains.append(list(chain_features(text, tokens, file)))
                 labels.append(y)
     return chains, labels
 

@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
-from nearfold.llm.secrets import ChainField, _made_up, base_spans, candidates, crf_spans, find_secrets, joined, learn, op4_secret_scan, redact, regions, secrets_stage, tokens_of
+from nearfold.llm.secrets import ChainField, _made_up, _shapes, base_spans, candidates, chain_features, crf_spans, find_secrets, joined, learn, op4_secret_scan, redact, regions, secrets_stage, tokens_of
 
 
 def plain(text):
@@ -136,3 +137,30 @@ def test_candidates_and_regions():
     far = "a b c " * 50 + "pwd = 'x!y' and so on " + "a b c " * 50 + "ftp://me:you@there"
     (a, b), (c, d) = regions(far)
     assert "pwd = 'x!y'" in far[a:b] and far[c:d].endswith("ftp://me:you@there")
+
+
+def test_memory_and_time_do_not_grow_with_a_region():
+    field = ChainField(["bias"])
+    field.weights[:] = [[0.0, -1.0, -1.0]]
+    text = "key1 = v2A, x-1/y_2 abcdef12; " * 8000  # one region of 72,000 tokens
+    assert regions(text) == [(0, len(text))]
+    _shapes.clear()
+    tracemalloc.start()
+    assert crf_spans(text, field, []) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6  # all features held at once took some 60 MB
+
+
+def test_long_runs():
+    text = "https://me:pw1@a.b/c,d;" + "k1=v2," * 3000 + "@"  # one run without blanks
+    tokens = tokens_of(text, 0, len(text))
+    words = [text[s:e] for s, e in tokens]
+    for k, fs in enumerate(chain_features(text, tokens, [])):
+        before = "".join(words[:k])
+        assert ("beforeat" in fs) == ("@" in words[k + 1 :])
+        named = any(x.startswith("under") for x in fs)
+        assert ("addressuser" in fs) == (not named and "://" in before and ":" in before.split("://", 1)[1])
+    _shapes.clear()
+    assert _shapes["a1" * 1000] and not _shapes  # long tokens aren't kept
+    assert all(x is y for x, y in zip(_shapes["abc1"], _shapes["xyz2"]) if x == y)
