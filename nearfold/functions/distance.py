@@ -52,7 +52,7 @@ def block_distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         elif metric == "manhattan":
             out[at : at + step] = np.abs(part - x).sum(-1)
         else:
-            out[at : at + step] = np.bitwise_count(part.astype(np.int64) ^ x.astype(np.int64)).sum(-1)
+            out[at : at + step] = np.bitwise_count((part.astype(np.int64) ^ x.astype(np.int64)).view(np.uint64)).sum(-1)  # of signed ones it would count the absolute value's
     return out
 
 

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfold.functions.distance import block_distances, check_metric, distance
+from nearfold.functions.distance import check_metric, distance
+from nearfold.functions.nearest import Nearest
 from nearfold.scratch import written
 
-EDGES = "src bigint, dst bigint, dist double"
+EDGES = "src bigint, dst bigint, rank int, dist double"
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -39,18 +40,9 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int, metric: str, step: int = 512) -> Iterator[pa.RecordBatch]:
-    """The k nearest of each row among the others, by (distance, id), some rows at a time."""
-    by_id = np.argsort(other_ids, kind="stable")  # ties go to the smaller id
-    other, other_ids = other[by_id], other_ids[by_id]
-    for at in range(0, len(ids), step):
-        mine = ids[at : at + step]
-        d = block_distances(x[at : at + step], other, metric)
-        d[mine[:, None] == other_ids[None, :]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, 1)
-        ok = np.isfinite(near)
-        yield pa.record_batch([pa.array(np.repeat(mine, order.shape[1])[ok.ravel()]), pa.array(other_ids[order][ok]), pa.array(near[ok])], ["src", "dst", "dist"])
+def _batches(found: Nearest) -> Iterator[pa.RecordBatch]:
+    for src, dst, rank, dist in found.found():
+        yield pa.record_batch([pa.array(src), pa.array(dst), pa.array(rank), pa.array(dist)], ["src", "dst", "rank", "dist"])
 
 
 def checked(vectors: DataFrame) -> tuple[int, int]:
@@ -69,33 +61,123 @@ def checked(vectors: DataFrame) -> tuple[int, int]:
     return seen.n, seen.high or 0
 
 
-def exact_knn(vectors: DataFrame, k: int, metric: str = "euclidean", block: int = 4096) -> DataFrame:
+def _cells(vectors: DataFrame, n: int, most: int, sample: int = 50_000) -> DataFrame:
+    """(id, features, leaf): cells of space of about `most` vectors each, cut at medians along the widest side of a sample."""
+    chosen = vectors if n <= sample else vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample / n) + 1)
+    rows = sorted((r.id, r.features) for r in chosen.select("id", "features").limit(2 * sample).collect())
+    x = np.array([f for _, f in rows], float).reshape(len(rows), -1)
+    least, normals, offsets, children = max(2, int(most * len(x) / max(1, n))), [], [], []
+
+    def split(at: np.ndarray) -> int:
+        if len(at) <= least:
+            return -1
+        widest = int(np.argmax(np.ptp(x[at], axis=0)))
+        values = x[at, widest]
+        cut = np.median(values)
+        below = values[values < values.max()]
+        if not len(below):
+            return -1  # copies of one point
+        cut = min(cut, below.max())
+        node = len(normals)
+        normals.append(np.eye(x.shape[1])[widest])
+        offsets.append(cut)
+        children.append([-1, -1])
+        children[node] = [split(at[values <= cut]), split(at[values > cut])]
+        return node
+
+    root = split(np.arange(len(x)))
+    tree = {"root": root, "normals": np.array(normals).reshape(len(normals), x.shape[1]), "offsets": np.array(offsets), "children": np.array(children, np.int64).reshape(-1, 2)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([batch.column("id"), batch.column("features"), pa.array(Forest([tree]).leaves(_matrix(batch.column("features")), tree))], ["id", "features", "leaf"])
+
+    return vectors.select("id", "features").mapInArrow(run, "id bigint, features array<double>, leaf bigint")
+
+
+def _packed(cells: DataFrame, k: int, metric: str, bounded: bool) -> DataFrame:
+    """(block, low, high, far, id, x) of (id, features, block): ids and elements of a block as bytes. bounded: with its box and the largest distance of any row to its k-th nearest in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, x = batch.column("id")[r].values.to_numpy(), _matrix(batch.column("features")[r].values)
+                far = np.inf
+                if bounded:
+                    own = Nearest(ids, x, k, metric)
+                    own.add(ids, x)
+                    far = float(own.dist[:, -1].max())
+                box = [pa.array([x.min(0).tolist()], pa.list_(pa.float64())), pa.array([x.max(0).tolist()], pa.list_(pa.float64()))]
+                yield pa.record_batch([batch.column("block").slice(r, 1), *box, pa.array([far]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "low", "high", "far", "id", "x"])
+
+    rows = cells.groupBy("block").agg(F.collect_list(F.struct("id", "features")).alias("v")).select("block", "v.id", "v.features")
+    return rows.mapInArrow(run, "block bigint, low array<double>, high array<double>, far double, id binary, x binary")
+
+
+def _partners(packed: DataFrame, metric: str) -> DataFrame:
+    """(a, block, pos): the blocks that may hold one of the k nearest of a row of block a, itself first and then by the distance of their boxes."""
+    a = packed.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), "far")
+    gap = F.zip_with(F.zip_with("low", "ha", lambda x, y: x - y), F.zip_with("la", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    gap = F.aggregate(gap, F.lit(0.0), lambda s, x: s + (x * x if metric == "euclidean" else x))
+    gap = (F.sqrt(gap) if metric == "euclidean" else gap) * (1 - 1e-9)
+    pairs = a.join(F.broadcast(packed.select("block", "low", "high"))).select("a", "block", "far", gap.alias("pos")).filter("pos <= far")
+    return pairs.select("a", "block", F.when(F.col("a") == F.col("block"), -0.5).otherwise(F.col("pos")).alias("pos"))
+
+
+def exact_knn(vectors: DataFrame, k: int, metric: str = "euclidean", block: int | None = None) -> DataFrame:
     """The k nearest of every vector by (distance, id), itself excluded, as (src, dst, rank, dist).
 
-    Vectors are packed into blocks of at most about `block`, smaller ones where there are few; every pair of blocks meets in one task by
-    an equi-join on the second block and a slice of the first ones. So each vector is shuffled once for every block, and of each
-    pair only each row's k best go on. No side is broadcast and no task holds more than two blocks.
-    ValueError for what `checked` names; an empty table gives an empty one.
+    Vectors are packed into blocks; a task holds one block, to which the others come one by one, and keeps its rows' k best so far: no side
+    is broadcast and no task holds more than two blocks (`block` vectors each, by default as many as have two million elements).
+    Up to eight elements of a metric that boxes bound, blocks are cells of space, and those that are farther than a block's worst k-th neighbour in
+    itself don't come: the work is in proportion to the vectors. Else every pair of blocks meets, n squared, and a block's partners are
+    divided among as many tasks as keep the cluster busy. ValueError for what `checked` names; an empty table gives an empty one.
     """
     metric = check_metric(metric)
-    n, _ = checked(vectors)
+    n, size = checked(vectors)
     at_once = vectors.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(n / block), min(math.ceil(at_once**0.5), n // 256))
-    slices = min(blocks, max(1, 4 * at_once // blocks))
-    packed = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "features")).alias("v"))
-    packed = written(packed.select("block", "v.id", "v.features"), "blocks")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = packed.withColumn("other", every(blocks)).withColumn("slice", F.pmod("block", F.lit(slices))).drop("block")
-    right = packed.withColumn("slice", every(slices)).select(F.col("block").alias("other"), "slice", F.col("id").alias("id2"), F.col("features").alias("features2"))
+    near_only = 0 < size <= 8 and metric in ("euclidean", "manhattan")
+    most = block or (2048 if near_only else min(65_536, max(1024, (1 << 21) // max(1, size))))
+    blocks = max(1, math.ceil(n / most), min(math.ceil((2 * at_once) ** 0.5), n // 256))
+    if near_only and blocks > 1:
+        cells = written(_cells(vectors, n, math.ceil(n / blocks)), "cells")
+        parts = F.broadcast(cells.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * most)).alias("parts")))
+        cells = cells.join(parts, "leaf").select("id", "features", (F.col("leaf") * (1 << 20) + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    else:
+        near_only, cells = False, vectors.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    packed = written(_packed(cells, k, metric, near_only), "blocks")
+    if near_only:
+        groups = 1
+        pairs = _partners(packed, metric).withColumn("g", F.lit(0))
+        right = packed.select("block", "id", "x").join(pairs, "block").select("a", "g", "pos", "id", "x")
+        tasks, at = min(max(4 * at_once, 64), blocks), F.pmod(F.xxhash64("a"), F.lit(1 << 20))
+    else:
+        groups = min(blocks, max(1, math.ceil(8 * at_once / blocks)))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        right = packed.select(every(blocks).alias("a"), F.pmod("block", F.lit(groups)).cast("int").alias("g"), F.lit(0.0).alias("pos"), "id", "x")
+        tasks, at = blocks * groups, F.col("a") * groups + F.col("g")
+    left = packed.select(F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(-1.0).alias("pos"), "id", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                part = {c: batch.column(c)[r].values for c in ("id", "features", "id2", "features2")}
-                yield from _nearest(part["id"].to_numpy(), _matrix(part["features"]), part["id2"].to_numpy(), _matrix(part["features2"]), k, metric)
+                now = batch.column("a")[r].as_py(), batch.column("g")[r].as_py()
+                ids = np.frombuffer(batch.column("id")[r].as_buffer(), np.int64)
+                x = np.frombuffer(batch.column("x")[r].as_buffer(), float).reshape(len(ids), -1)
+                if now != key:  # the block itself comes first
+                    if mine is not None:
+                        yield from _batches(mine)
+                    key, mine = now, Nearest(ids.copy(), x.copy(), k, metric)
+                else:
+                    mine.add(ids, x)
+        if mine is not None:
+            yield from _batches(mine)
 
-    pairs = left.hint("shuffle_hash").join(right, ["other", "slice"])
-    return tagged(top_k(pairs.mapInArrow(run, EDGES), k), metric)
+    met = left.unionByName(right).repartitionById(max(1, tasks), F.pmod(at, F.lit(max(1, tasks))).cast("int")).sortWithinPartitions("a", "g", "pos")
+    found = met.mapInArrow(run, EDGES)
+    return tagged(found if groups == 1 else top_k(found, k), metric)
 
 
 class Forest:
@@ -198,13 +280,15 @@ def forest_knn(leaves: DataFrame, vectors: DataFrame, k: int, metric: str = "euc
         for batch in batches:
             for r in range(batch.num_rows):
                 ids, x = batch.column("id")[r].values.to_numpy(), _matrix(batch.column("features")[r].values)
-                yield from _nearest(ids, x, ids, x, k, metric)
+                found = Nearest(ids, x, k, metric)
+                found.add(ids, x)
+                yield from _batches(found)
 
     trees, found = leaves.agg(F.max("tree")).first()[0], None
     for first in range(0, (0 if trees is None else trees) + 1, trees_at_once):
         mine = spread.filter(F.col("tree").between(first, first + trees_at_once - 1)).join(vectors.select("id", "features"), "id")
         packed = mine.groupBy("tree", "leaf", "low", "high").agg(F.collect_list(F.struct("id", "features")).alias("v")).select("v.id", "v.features")
-        near = packed.mapInArrow(run, EDGES)
+        near = packed.mapInArrow(run, EDGES).drop("rank")
         if found is not None:
             near = near.unionByName(found.select("src", "dst", "dist"))
         found = written(top_k(near.groupBy("src", "dst").agg(F.min("dist").alias("dist")), k), "forest_edges")
