@@ -76,3 +76,17 @@ def test_partners_in_the_plane_follow_the_points(spark):
         np.fill_diagonal(d, np.inf)
         want = {(i, int(j), k + 1) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), d[i]))[:5])}
         assert {(r.src, r.dst, r["rank"]) for r in knn.exact_knn(vec(spark, x), 5, metric, block=60).collect()} == want
+
+
+def test_distance_table_shuffles_no_pair(spark):
+    """All pairs, with nulls, from a plan whose exchanges have no more rows than there are ids and edges."""
+    rng = np.random.default_rng(8)
+    edges = {(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 300, 900), rng.integers(0, 300, 900), rng.random(900)) if a != b}
+    edges |= {(7, 999): 0.1, (999, 7): 0.2}  # not among the ids
+    e = written(spark.createDataFrame([(a * 5, b * 5, w) for (a, b), w in edges.items()], "src bigint, dst bigint, dist double"), "e")
+    made = E.distance_table(e, written(spark.range(0, 1500, 5), "ids"))
+    got = {(r.i, r.j): r.dist for r in made.collect()}
+    want = {(5 * a, 5 * b): edges.get((a, b), edges.get((b, a))) for a in range(300) for b in range(a)}
+    assert got == want and len(got) == 300 * 299 // 2
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
