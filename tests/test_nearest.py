@@ -90,3 +90,16 @@ def test_distance_table_shuffles_no_pair(spark):
     assert got == want and len(got) == 300 * 299 // 2
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_a_goal_is_reached_where_the_leaves_alone_fail(spark):
+    rng = np.random.default_rng(9)
+    v = written(vec(spark, rng.normal(size=(3000, 24))), "v")
+    exact, found = written(knn.exact_knn(v, 10), "exact"), {}
+    for trees, leaf, goal in ((6, 20, None), (6, 20, 0.9), (2, 20, 0.9)):
+        found[trees, goal] = knn.recall(exact, knn.search(v, 10, trees, 0, leaf=leaf, goal=goal)).first().recall
+    assert found[6, None] < 0.5 and found[6, 0.9] >= 0.9 and found[2, 0.9] >= 0.9
+    x, near = knn.sampled_truth(v, 10, "euclidean", 3000)
+    truth = {(tuple(np.round(x[a], 9)), tuple(np.round(x[b], 9))) for a, b in near}
+    rows = np.round(np.array([r.features for r in v.orderBy("id").collect()]), 9)
+    assert 300 < len(near) // 10 < 700 and truth <= {(tuple(rows[r.src]), tuple(rows[r.dst])) for r in exact.collect()}
